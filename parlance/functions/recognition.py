@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions.text import strip
+
+LINE_ENDS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 # Fixed values of the rules.
 MIN_LATIN_SHARE = 0.5
 SCREENSHOT_LINES, SCREENSHOT_CHARS = 8, 120
@@ -32,8 +35,8 @@ def is_text_dominant(text: Column, lines: Column) -> Column:
 
 def trimmed_line_chars(text: Column) -> Column:
     """Characters of all lines after trimming each of them."""
-    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
-    return F.aggregate(lines, F.lit(0), lambda acc, line: acc + F.length(F.trim(line)))
+    lines = F.split(F.coalesce(text, F.lit("")), LINE_ENDS)
+    return F.aggregate(lines, F.lit(0), lambda acc, line: acc + F.length(strip(line)))
 
 
 def is_screenshot(text: Column, lines: Column) -> Column:

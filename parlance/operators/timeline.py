@@ -235,6 +235,6 @@ def search(messages: DataFrame, media: DataFrame, transcripts: DataFrame, ocr: D
         F.lit(None).cast("string").alias("src"))
     spoken = transcripts.filter(hit(F.col("text"))).select("src", F.lit("transcript").alias("found_in"))
     read = ocr.filter(hit(F.col("text"))).select("src", F.lit("image").alias("found_in"))
-    files = media.select("message_id", "src").distinct().join(spoken.unionByName(read), "src")
+    files = media.join(spoken.unionByName(read), "src").select("message_id", "src", "found_in").distinct()
     in_files = files.join(shown.select(F.col("id").alias("message_id"), "chat_id", "ts"), "message_id")
     return in_text.unionByName(in_files)
