@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -69,6 +69,16 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate result that several steps read, and read it back.
+
+    The table lies in the shared folder, so a lost executor costs a re-read and not a recomputation.
+    """
+    path = new_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip the scheme of a file URI for code that opens mounted files directly."""
     return path[len("file:"):].replace("//", "/", 1) if path.startswith("file:") else path
