@@ -1,8 +1,8 @@
 """People across services: handles and names to persons, merging, and configured name maps.
 
 Resolution works on the distinct handles or names, not on messages; messages pick their person up in
-one join at the end. New ids follow the day a key is first seen and then its hash, so they do not
-depend on how the rows were partitioned.
+one join at the end. The distinct keys are written once, because several steps read them. New ids follow
+the day a key is first seen and then its hash, so they do not depend on how the rows were partitioned.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import choose, norm_handle, norm_name, strip
 from parlance.operators.ordered import number_rows
+from parlance.session import materialise
 
 
 @dataclass
@@ -37,7 +38,7 @@ def resolve_handles(sent: DataFrame, handles: DataFrame, persons: DataFrame) ->
         .groupBy("value").agg(F.min("ts").alias("ts")).withColumn("norm", norm_handle(F.col("value")))
     )
     known = handles.groupBy(F.col("value").alias("norm")).agg(F.max("person_id").alias("known_id"))
-    matched = seen.join(known, "norm", "left")
+    matched = materialise(seen.join(known, "norm", "left"), "handles")
     fresh = _first_spelling(matched.filter(F.col("known_id").isNull()))
     numbered = _number(fresh, persons)
     links = matched.join(numbered.select("norm", "person_id"), "norm", "left").select(
@@ -62,7 +63,7 @@ def match_names(names: DataFrame, persons: DataFrame, aliases: DataFrame) -> Dat
 def resolve_names(sent: DataFrame, persons: DataFrame, aliases: DataFrame) -> Resolution:
     """``sent``: value, ts. Names without a match become persons, one per normalised name."""
     names = sent.filter(F.coalesce("value", F.lit("")) != "").groupBy("value").agg(F.min("ts").alias("ts"))
-    matched = match_names(names, persons, aliases)
+    matched = materialise(match_names(names, persons, aliases), "names")
     numbered = _number(_first_spelling(matched.filter(F.col("known_id").isNull()), "key"), persons)
     links = matched.join(numbered.select("norm", "person_id"), "norm", "left").select(
         "value", F.coalesce("known_id", "person_id").alias("person_id"))

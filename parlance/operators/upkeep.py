@@ -41,7 +41,7 @@ def find_chats(specs: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame
     ``specs`` carries slug, source_id, title, subtitle, is_group, origin, device_id.
     """
     known = chats.select("slug", F.col("id").alias("known_id"))
-    matched = specs.join(known, "slug", "left")
+    matched = materialise(specs.join(known, "slug", "left"), "chats")
     columns = ["slug", "device_id", "title", "subtitle", "is_group", "origin"]
     missing = matched.filter(F.col("known_id").isNull()).groupBy("slug").agg(
         F.min(F.struct(*columns[1:])).alias("_c")).select("slug", "_c.*")
