@@ -7,27 +7,12 @@ from pyspark.sql import functions as F
 
 from parlance.model import DRIFT_DDL, schema
 from parlance.operators.ordered import number_rows
+from parlance.sources.contracts import STORAGE_CLASSES, UNTYPED
 
-# Storage class by declared SQLite type; any other type stands for itself.
-STORAGE_CLASSES = {
-    "INT": "INTEGER", "INTEGER": "INTEGER", "TINYINT": "INTEGER", "SMALLINT": "INTEGER",
-    "MEDIUMINT": "INTEGER", "BIGINT": "INTEGER", "BOOL": "INTEGER", "BOOLEAN": "INTEGER",
-    "REAL": "REAL", "DOUBLE": "REAL", "FLOAT": "REAL",
-    "NUMERIC": "NUMERIC", "DECIMAL": "NUMERIC", "DATE": "NUMERIC", "TIMESTAMP": "NUMERIC",
-    "TEXT": "TEXT", "VARCHAR": "TEXT", "CHAR": "TEXT", "CLOB": "TEXT",
-    "BLOB": "BLOB",
-}
-UNTYPED = "BLOB"
 KEY = ["source", "kind", "table_name", "column_name", "observed"]
 EVENT_COLUMNS = schema(DRIFT_DDL).names
 
 
-def storage_class(declared: str | None) -> str:
-    """Coarse class of one declared type."""
-    bare = (declared or "").split("(")[0].strip().upper()
-    return STORAGE_CLASSES.get(bare, bare or UNTYPED)
-
-
 def storage_class_of(declared: Column) -> Column:
     """Coarse class of a column of declared types."""
     bare = F.upper(F.trim(F.element_at(F.split(F.coalesce(declared, F.lit("")), r"\("), 1)))

@@ -1 +1,281 @@
-"""(to follow)"""
+"""Scans, sources and sinks (S-*, K-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parlance.operators import export_text, overview, reactions, sinks
+from parlance.plans import given, stage, vendor
+from parlance.plans.aggregates import OVERVIEW_SQL, overview_rows, reaction_events
+from parlance.plans.registry import query
+from parlance.session import new_folder
+from parlance.sources import chat_export, documents, paths, sqlite_ro, stores
+
+
+@query("s_01_sqlite_table", """
+    SELECT event_id, user_id, event_type, value, cast(floor(epoch(ts)) AS bigint) AS ts, props FROM events""")
+def s_01(spark, d):
+    rows = given.table(spark, d, "events").select("event_id", "user_id", "event_type", "value", given.event_seconds().alias("ts"), "props")
+    path = stage.sqlite_files(rows, "event", 4)
+    sqlite_ro.register(spark)
+    return spark.read.format("sqlite_ro").option("path", path).option("table", "event").option("rows_per_partition", "1000").load()
+
+
+@query("s_02_apple_messages", """
+    SELECT m.rowid, m.chat_id, m.guid, m.ts, m.is_me, coalesce(h.id, '') AS sender_handle, m.amt
+    FROM apple_message m LEFT JOIN apple_handle h ON h.rowid = m.handle_id""")
+def s_02(spark, d):
+    rows = stores.apple_messages(vendor.apple_store(spark, d))
+    return rows.select("rowid", "chat_id", "guid", "ts", (F.col("is_from_me") != 0).alias("is_me"),
+                       F.coalesce("sender_handle", F.lit("")).alias("sender_handle"), F.col("associated_message_type").alias("amt"))
+
+
+@query("s_03_apple_attachments", "SELECT *, 'public.data' AS uti FROM apple_attachment")
+def s_03(spark, d):
+    return stores.apple_attachments(vendor.apple_store(spark, d))
+
+
+@query("s_04_apple_chats", """
+    SELECT 'mac/chat_' || c_custkey AS slug, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE '+49170' || lpad(c_custkey::varchar, 7, '0') END AS title,
+           c_custkey::varchar AS source_id, '+49170' || lpad(c_custkey::varchar, 7, '0') AS subtitle,
+           c_custkey % 5 = 0 OR c_custkey % 7 = 0 AS is_group, 'apple' AS origin FROM customer""")
+def s_04(spark, d):
+    return stores.apple_chats(vendor.apple_store(spark, d), "mac")
+
+
+@query("s_05_whatsapp_messages", "SELECT pk, session, kind, body, ts FROM wa_message")
+def s_05(spark, d):
+    from parlance.functions.text import clean_text
+    from parlance.functions.times import whatsapp_seconds
+    from parlance.operators.canonical import message_kind
+
+    rows = stores.whatsapp_messages(vendor.whatsapp_store(spark, d))
+    return rows.select("pk", "session", message_kind(F.col("msg_type")).alias("kind"), clean_text(F.col("text")).alias("body"),
+                       whatsapp_seconds(F.col("msg_date")).alias("ts"))
+
+
+@query("s_06_whatsapp_sessions", """
+    SELECT 'wa/chat_' || session AS slug, coalesce(partner_name, jid, 'chat_' || session) AS title, session::varchar AS source_id,
+           jid AS subtitle, is_group, 'whatsapp' AS origin FROM wa_session""")
+def s_06(spark, d):
+    return stores.whatsapp_chats(vendor.whatsapp_store(spark, d), "wa")
+
+
+@query("s_07_whatsapp_media", "SELECT pk, media_pk, local_path, media_title, lat, lon FROM wa_media")
+def s_07(spark, d):
+    return stores.whatsapp_media(vendor.whatsapp_store(spark, d))
+
+
+@query("s_08_export_source", "SELECT folder, ts, role AS sender, body FROM turn_row")
+def s_08(spark, d):
+    """Export folders are written, read back in 16-KiB ranges and assembled in 4-KiB chunks."""
+    root = stage.export_folders(vendor.export_lines(vendor.turns(spark, d)))
+    chat_export.register(spark)
+    lines = spark.read.format("chat_export").option("path", root).option("split_bytes", str(16 * 1024)).load()
+    return export_text.assemble(export_text.parse_lines(lines), 4096).select("folder", "ts", "sender", "body")
+
+
+def config_docs(spark, d):
+    """One configuration per chat, entries as objects and as both lengths of the older list."""
+    k = F.col("id")
+    item = F.when(k % 3 == 0, F.concat(
+        F.lit('{"slug":"c'), k, F.lit('","title":"'), "title", F.lit('","is_group":'), F.col("is_group").cast("string"),
+        F.lit(',"origin":"whatsapp"'), F.when(k % 2 == 0, F.concat(F.lit(',"source":"s","source_id":"'), k, F.lit('"'))).otherwise(""), F.lit("}"))
+    ).when(k % 3 == 1, F.concat(F.lit("["), k, F.lit(',"'), "title", F.lit('",null,"c'), k, F.lit('",'), F.col("is_group").cast("string"), F.lit("]"))
+    ).otherwise(F.concat(F.lit('[null,"'), "title", F.lit('","sub","c'), k, F.lit('",false,"signal"]')))
+    doc = F.concat(F.lit('{"devices":[{"type":"mac_live","id":"x","slug":"dev'), "device_id", F.lit('","name":"N","db":null,"chats":['), item,
+                   F.lit(']}],"people":{"+49 '), k, F.lit('":"P'), k, F.lit('"}}'))
+    return given.chat(spark, d).select(doc.alias("doc"))
+
+
+@query("s_09_source_config", """
+    SELECT 'dev' || device_id AS device_slug, 'c' || id AS slug, title, CASE WHEN id % 3 = 2 THEN 'sub' END AS subtitle,
+           CASE WHEN id % 3 = 2 THEN false ELSE is_group END AS is_group,
+           CASE id % 3 WHEN 0 THEN 'whatsapp' WHEN 1 THEN 'apple' ELSE 'signal' END AS origin,
+           CASE WHEN id % 6 = 0 THEN 's' WHEN id % 3 = 1 THEN 'imessage_live' END AS source,
+           CASE WHEN id % 6 = 0 OR id % 3 = 1 THEN id::varchar END AS source_id
+    FROM chat""")
+def s_09(spark, d):
+    return documents.config_chats(config_docs(spark, d)).drop("position", "device_position")
+
+
+def chat_docs(spark, d):
+    """One exported chat document per message, media on those with an even id."""
+    m, c = given.message(spark, d, text=True), given.chat(spark, d).select(F.col("id").alias("chat_id"), "slug", "title")
+    files = F.when(F.col("id") % 4 == 0, F.array(F.struct(
+        F.lit("image").alias("kind"), F.concat(F.lit("media/"), "id").alias("src"), F.lit("foto").alias("cat"), (F.col("id") % 8 == 0).alias("portrait"))))
+    record = F.struct(F.lit("msg").alias("t"), "ts", F.col("is_me").alias("me"), F.concat(F.lit("s"), "sender_person_id").alias("sender"), "text",
+                      files.alias("media"), "apps", "edits", F.when(F.col("retracted"), F.lit(True)).alias("retracted"))
+    return m.join(c, "chat_id").select(F.to_json(F.struct("slug", "title", F.lit(False).alias("is_group"), F.array(record).alias("messages"))).alias("doc"))
+
+
+@query("s_10_chat_json", """
+    SELECT c.slug, m.ts, m.is_me, CASE WHEN m.is_me THEN dv.name ELSE 's' || m.sender_person_id END AS sender, m.text, m.retracted,
+           coalesce(m.n_edits, 0) AS n_edits, CASE WHEN m.id % 4 = 0 THEN 'ready' ELSE 'none' END AS media_status,
+           CASE WHEN m.id % 4 = 0 THEN 'media/' || m.id END AS src, CASE WHEN m.id % 4 = 0 THEN m.id % 8 = 0 END AS portrait
+    FROM message m JOIN chat c ON c.id = m.chat_id JOIN device dv ON dv.id = c.device_id""")
+def s_10(spark, d):
+    docs = chat_docs(spark, d).withColumn("doc_id", F.md5("doc"))
+    chats = documents.parse_chats(docs)
+    owners = given.device(spark, d).select(F.col("slug").alias("device_slug"), F.col("name").alias("owner_name"))
+    rows = documents.message_rows(chats, owners)
+    files = documents.media_rows(chats).select(
+        "slug", F.substring_index("src", "/", -1).cast("bigint").alias("id"), "src", "portrait")
+    ids = given.message(spark, d).select("id", "chat_id", "ts").join(given.chat(spark, d).select(F.col("id").alias("chat_id"), "slug"), "chat_id")
+    tied = files.join(ids.select("id", "ts"), "id").select("slug", "ts", "src", "portrait")
+    return rows.join(tied, ["slug", "ts"], "left").select(
+        "slug", "ts", "is_me", "sender", "text", "retracted", F.coalesce(F.size("edits"), F.lit(0)).alias("n_edits"), "media_status", "src", "portrait")
+
+
+@query("s_11_recognition_caches", """
+    SELECT 'transcript' AS cache, src, text, lang, prob, error, NULL::bigint AS lines, NULL::boolean AS is_screenshot FROM transcript
+    UNION ALL SELECT 'ocr', src, text, NULL, NULL, error, lines, is_screenshot FROM ocr""")
+def s_11(spark, d):
+    spoken = given.transcript(spark, d).select(F.to_json(F.create_map("src", F.struct("text", "lang", "prob", "error"))).alias("doc"))
+    read = given.ocr(spark, d).select(F.to_json(F.create_map("src", F.struct("text", "lines", "is_screenshot", "error"))).alias("doc"))
+    t = documents.transcripts(spoken).select(F.lit("transcript").alias("cache"), "src", "text", "lang", "prob", "error")
+    o = documents.ocr(read).select(F.lit("ocr").alias("cache"), "src", "text", "lines", "is_screenshot", "error")
+    return t.unionByName(o, allowMissingColumns=True)
+
+
+@query("s_12_media_files", """
+    SELECT (doc_id % 64) || '/' || doc_id || '.bin' AS name, octet_length(encode(text))::bigint AS bytes, substr(sha256(text), 1, 16) AS digest FROM documents""")
+def s_12(spark, d):
+    k = F.col("doc_id")
+    files = given.table(spark, d, "documents").select(
+        F.concat((k % 64).cast("string"), F.lit("/"), k, F.lit(".bin")).alias("name"), F.encode("text", "UTF-8").alias("content"))
+    root = stage.binary_files(files)
+    return paths.scan_files(spark, root, "*.bin").select(
+        F.concat_ws("/", F.element_at(F.split("path", "/"), -2), F.element_at(F.split("path", "/"), -1)).alias("name"), "bytes", "digest")
+
+
+def attachment_refs(spark, d):
+    p = F.col("p_partkey")
+    ref = (
+        F.when(p % 5 == 0, F.concat(F.lit("~/Library/Messages/Attachments/"), p)).when(p % 5 == 1, F.concat(F.lit("/var/x/Library/Messages/A/"), p))
+        .when(p % 5 == 2, F.concat(F.lit("Media/"), p)).when(p % 5 == 3, "").otherwise(F.concat(F.lit("/abs/"), p)))
+    return given.table(spark, d, "part").select(p, ref.alias("ref"))
+
+
+@query("s_13_attachment_paths", """
+    WITH refs AS (SELECT p_partkey AS p, CASE p_partkey % 5 WHEN 0 THEN '~/Library/Messages/Attachments/' || p_partkey
+                    WHEN 1 THEN '/var/x/Library/Messages/A/' || p_partkey WHEN 2 THEN 'Media/' || p_partkey WHEN 3 THEN '' ELSE '/abs/' || p_partkey END AS ref FROM part),
+    wanted AS (
+        SELECT p, 'live' AS rule, CASE WHEN ref LIKE '~%' THEN '/home/u' || substr(ref, 2) ELSE nullif(ref, '') END AS path FROM refs
+        UNION ALL SELECT p, 'backup', CASE p % 5 WHEN 0 THEN '/bk/Attachments/' || p WHEN 1 THEN '/bk/A/' || p WHEN 2 THEN '/bk/' || ref WHEN 4 THEN ref END FROM refs
+        UNION ALL SELECT p, 'whatsapp', CASE WHEN p % 5 = 0 THEN '/home/u' || substr(ref, 2) WHEN p % 5 = 2 THEN '/wa/' || ref WHEN p % 5 = 3 THEN NULL ELSE ref END FROM refs
+        UNION ALL SELECT p, 'export', CASE WHEN ref <> '' THEN '/ex/f' || (p % 9) || '/' || ref END FROM refs)
+    SELECT p AS p_partkey, rule, CASE WHEN p % 3 <> 0 THEN path END AS path FROM wanted""")
+def s_13(spark, d):
+    """Paths by each rule; files of every third part are missing from the listing."""
+    refs, ref = attachment_refs(spark, d), F.col("ref")
+    rules = {
+        "live": paths.live_path(ref, "/home/u"), "backup": paths.backup_path(ref, "/bk"), "whatsapp": paths.whatsapp_path(ref, "/wa", "/home/u"),
+        "export": paths.export_path(F.concat(F.lit("f"), F.col("p_partkey") % 9), ref, "/ex"),
+    }
+    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), p.alias("want")) for n, p in rules.items()])
+    rows = refs.select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
+    listing = rows.filter((F.col("p_partkey") % 3 != 0) & F.col("want").isNotNull()).select(F.col("want").alias("path"))
+    return paths.resolve(rows, F.col("want"), listing).select("p_partkey", "rule", "path")
+
+
+@query("s_14_backup_manifest", """
+    SELECT l_orderkey, l_linenumber, l_partkey,
+           CASE WHEN l_partkey % 6 <> 5 THEN substr(md5(CASE WHEN l_partkey % 2 = 0 THEN 'm' ELSE 'h' END || l_partkey), 1, 2) || '/'
+                || md5(CASE WHEN l_partkey % 2 = 0 THEN 'm' ELSE 'h' END || l_partkey) END AS path
+    FROM lineitem""")
+def s_14(spark, d):
+    """Manifest rows in the home domain for most parts and in the media domain for even ones."""
+    p = F.col("p_partkey")
+    parts = given.table(spark, d, "part").filter(p % 6 != 5)
+    rel = F.concat(F.lit("Library/SMS/"), p)
+
+    def files(mark: str, domain: str):
+        return parts.select(F.md5(F.concat(F.lit(mark), p).cast("binary")).alias("fileID"), F.lit(domain).alias("domain"), rel.alias("relativePath"), p)
+
+    manifest = files("h", "HomeDomain").unionByName(files("m", "MediaDomain").filter(p % 2 == 0)).drop("p_partkey")
+    rows = given.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("~/Library/SMS/"), "l_partkey").alias("source_ref"))
+    return paths.manifest_paths(rows, manifest).drop("source_ref")
+
+
+# --- sinks ----------------------------------------------------------------------------------------------
+
+
+@query("k_01_archive_sink", """
+    SELECT 'person' AS table_name, count(*) AS n, sum(id)::bigint AS total FROM person
+    UNION ALL SELECT 'chat', count(*), sum(id)::bigint FROM chat
+    UNION ALL SELECT 'message', count(*), sum(id)::bigint FROM message
+    UNION ALL SELECT 'media', count(*), sum(id)::bigint FROM media""")
+def k_01(spark, d):
+    root = new_folder(spark, "archive")
+    names = ["person", "chat", "message", "media"]
+    sinks.write_archive({n: getattr(given, n)(spark, d) for n in names}, root, 8)
+    out = None
+    for name, df in sinks.read_archive(spark, root, names).items():
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("total")).select(F.lit(name).alias("table_name"), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("k_02_chat_json_export", f"""
+    SELECT c.slug, 'chat' AS t, NULL::bigint AS id, c.title AS what, v.total AS n FROM chat c JOIN ({OVERVIEW_SQL}) v ON v.chat_id = c.id
+    UNION ALL SELECT c.slug, 'msg', m.id, coalesce(p.display_name, '?'), m.ts FROM message m JOIN chat c ON c.id = m.chat_id
+        LEFT JOIN person p ON p.id = m.sender_person_id
+    UNION ALL SELECT c.slug, 'media', m.id, md.src, NULL FROM media md JOIN message m ON m.id = md.message_id JOIN chat c ON c.id = m.chat_id
+        WHERE md.src IS NOT NULL""")
+def k_02(spark, d):
+    root = new_folder(spark, "chats")
+    records = sinks.chat_records(overview_rows(spark, d), given.message(spark, d), given.media(spark, d), given.person(spark, d), given.chat(spark, d))
+    sinks.write_by_chat(records, root)
+    parsed = spark.read.text(root).select("slug", F.from_json(
+        "value", "t string, id bigint, message bigint, title string, sender string, src string, ts bigint, stats struct<total:bigint>").alias("r"))
+    return parsed.select("slug", "r.t", F.coalesce("r.id", "r.message").alias("id"), F.coalesce("r.title", "r.sender", "r.src").alias("what"),
+                         F.coalesce("r.stats.total", "r.ts").alias("n"))
+
+
+DIALOGUE_SQL = f"""
+    WITH tags AS (
+        SELECT message_id, string_agg(CASE WHEN src IS NULL THEN '[Anhang fehlt]' WHEN kind = 'image' AND cat = 'emoji' THEN '[Emoji]'
+                   WHEN kind = 'image' AND cat = 'sticker' THEN '[Sticker]' WHEN kind = 'image' THEN '[Bild]' WHEN kind = 'video' THEN '[Video]'
+                   WHEN kind = 'audio' THEN '[Sprachnachricht]' ELSE '[Datei]' END, ' ' ORDER BY id,
+                   CASE WHEN src IS NULL THEN '[Anhang fehlt]' WHEN kind = 'image' AND cat = 'emoji' THEN '[Emoji]'
+                   WHEN kind = 'image' AND cat = 'sticker' THEN '[Sticker]' WHEN kind = 'image' THEN '[Bild]' WHEN kind = 'video' THEN '[Video]'
+                   WHEN kind = 'audio' THEN '[Sprachnachricht]' ELSE '[Datei]' END) AS tags FROM media GROUP BY 1)
+    SELECT c.slug, '[' || ['Montag', 'Dienstag', 'Mittwoch', 'Donnerstag', 'Freitag', 'Samstag', 'Sonntag'][isodow(to_timestamp(m.ts) AT TIME ZONE 'UTC')]
+           || ', ' || strftime(to_timestamp(m.ts) AT TIME ZONE 'UTC', '%d.%m.%Y %H:%M:%S') || '] ' || coalesce(p.display_name, '?') || ': '
+           || concat_ws(' ', tags.tags, '[' || m.app || ']', nullif(m.text, '')) AS record
+    FROM message m JOIN chat c ON c.id = m.chat_id LEFT JOIN person p ON p.id = m.sender_person_id LEFT JOIN tags ON tags.message_id = m.id
+    WHERE tags.tags IS NOT NULL OR m.app IS NOT NULL OR coalesce(m.text, '') <> ''"""
+
+
+@query("k_03_dialogue_export", f"SELECT * FROM ({DIALOGUE_SQL})")
+def k_03(spark, d):
+    return sinks.dialogue_lines(given.message(spark, d, text=True), given.media(spark, d), given.person(spark, d), given.chat(spark, d)).select("slug", "record")
+
+
+@query("k_03b_dialogue_files", f"""
+    SELECT slug, sum(n)::bigint AS lines FROM (
+        SELECT slug, len(string_split(record, chr(10))) AS n FROM ({DIALOGUE_SQL})
+        UNION ALL SELECT slug, 6 FROM chat
+        UNION ALL SELECT c.slug, 1 FROM events e JOIN chat c ON c.id = e.user_id JOIN (
+            SELECT user_id, event_id % 6 AS k, max({{'t': cast(floor(epoch(ts)) AS bigint), 'e': event_id, 'a': event_type = 'click'}}) AS last
+            FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2) f ON f.user_id = e.user_id AND f.last.e = e.event_id WHERE f.last.a)
+    GROUP BY 1""")
+def k_03b(spark, d):
+    """Dialogue files with headers and reaction lines, written per chat and read back."""
+    root = new_folder(spark, "dialogues")
+    live = reactions.live_reactions(reactions.tapback_events(reaction_events(spark, d))).select("chat_id", "ts", "sender", "emoji", "label")
+    lines = sinks.dialogue_lines(given.message(spark, d, text=True), given.media(spark, d), given.person(spark, d), given.chat(spark, d), live)
+    sinks.write_by_chat(sinks.dialogue_header(overview_rows(spark, d)).unionByName(lines), root)
+    return spark.read.option("lineSep", "\n").text(root).groupBy("slug").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query("k_04_overview_json", f"""
+    SELECT 'device' AS what, slug, name AS title, NULL::bigint AS total FROM device
+    UNION ALL SELECT 'chat', slug, title, total FROM ({OVERVIEW_SQL})""")
+def k_04(spark, d):
+    root = new_folder(spark, "overview")
+    devices = overview.with_owner(given.device(spark, d), given.person(spark, d))
+    sinks.overview_records(overview_rows(spark, d), devices).write.partitionBy("what").parquet(root)
+    r = F.from_json("record", "name string, title string, total bigint")
+    return spark.read.parquet(root).select("what", "slug", r.alias("r")).select("what", "slug", F.coalesce("r.name", "r.title").alias("title"), "r.total")

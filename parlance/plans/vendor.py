@@ -108,7 +108,7 @@ def whatsapp_store(spark: SparkSession, d: str) -> dict[str, DataFrame]:
         F.when(e % 2 == 0, F.concat(u.cast("string"), host)).alias("ZFROMJID"), (e % 2).alias("ZISFROMME"),
         F.when(e % 31 != 0, F.get(F.array(*[F.lit(c) for c in codes]), (e % 20).cast("int"))).alias("ZMESSAGETYPE"),
         u.alias("ZCHATSESSION"), F.when((u % 5 == 0) & (e % 8 != 0), u * 10 + e % 4).alias("ZGROUPMEMBER"),
-        F.when(e % 6 == 0, e % 15).alias("ZGROUPEVENTTYPE"))
+        F.when(e % 7 == 0, e % 15).alias("ZGROUPEVENTTYPE"))
     k = F.col("c_custkey")
     customer = given.table(spark, d, "customer")
     order, line, part = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("l_partkey")

@@ -5,13 +5,14 @@
 Spark's own file sources skip names that start with an underscore. One row per line: ``folder``,
 ``pos`` (byte offset of the line, which orders the lines of a folder) and ``line``. A large file is
 read by several tasks: each range starts after the first line break it meets and ends with the line
-that crosses its end. Options: ``path`` (root folder or URI), ``split_bytes`` (default 64 MiB).
+that crosses its end; small files share a task. Options: ``path`` (root folder or URI), ``split_bytes`` (default 64 MiB).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,13 +32,20 @@ def register(spark: SparkSession) -> None:
 
 
 @dataclass
-class ByteRange(InputPartition):
+class ByteRange:
     path: str
     folder: str
     start: int
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Byte ranges one task reads: part of a large file, or many small files."""
+
+    ranges: list[ByteRange]
+
+
 def open_root(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (
         fs.LocalFileSystem(), path)
@@ -63,27 +71,34 @@ class ChatExportReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, base = open_root(self.root)
         listed = system.get_file_info(fs.FileSelector(base, recursive=True))
-        parts: list[InputPartition] = []
+        ranges: list[ByteRange] = []
         for info in listed:
             if info.type == fs.FileType.File and info.base_name == FILE_NAME:
                 folder = info.path[len(base):-len(FILE_NAME)].strip("/")
-                parts += [ByteRange(info.path, folder, at, min(at + self.split, info.size))
-                          for at in range(0, max(info.size, 1), self.split)]
-        return parts or [ByteRange("", "", 0, 0)]
+                ranges += [ByteRange(info.path, folder, at, min(at + self.split, info.size))
+                           for at in range(0, info.size, self.split)]
+        return self.packed(ranges) or [Ranges([])]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        if not partition.path:
-            return
+    def packed(self, ranges: list[ByteRange]) -> list[InputPartition]:
+        """Ranges put together until a task has about ``split_bytes`` to read."""
+        parts: list[InputPartition] = []
+        current: list[ByteRange] = []
+        size = 0
+        for r in ranges:
+            if current and size + r.end - r.start > self.split:
+                parts.append(Ranges(current))
+                current, size = [], 0
+            current.append(r)
+            size += r.end - r.start
+        return parts + ([Ranges(current)] if current else [])
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, _ = open_root(self.root)
-        with system.open_input_file(partition.path) as stream:
-            rows: list[tuple[int, str]] = []
-            for row in range_lines(stream, partition.start, partition.end):
-                rows.append(row)
-                if len(rows) == BATCH_LINES:
-                    yield to_batch(partition.folder, rows)
-                    rows = []
-            if rows:
-                yield to_batch(partition.folder, rows)
+        for part in partition.ranges:
+            with system.open_input_file(part.path) as stream:
+                lines = range_lines(stream, part.start, part.end)
+                while rows := list(islice(lines, BATCH_LINES)):
+                    yield to_batch(part.folder, rows)
 
 
 def to_batch(folder: str, rows: list[tuple[int, str]]) -> pa.RecordBatch:

@@ -22,6 +22,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from parlance.sources.contracts import storage_class
+
 FORMAT = "sqlite_ro"
 COLUMNS_TABLE = "@columns"
 FILE_COLUMN, CORRUPT_COLUMN = "_file", "_corrupt"
@@ -64,8 +66,6 @@ class SqliteSource(DataSource):
         return FORMAT
 
     def schema(self) -> T.StructType:
-        from parlance.operators.drift import storage_class
-
         table = self.options["table"]
         if table == COLUMNS_TABLE:
             return T.StructType.fromDDL("table_name string, column_name string, declared_type string")
