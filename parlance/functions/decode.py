@@ -6,9 +6,10 @@ import plistlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions.times import VENDOR_EPOCH
-from parlance.model import EDIT
+from parlance.model import HISTORY_TYPE
 
 # Fixed values of the typed-stream format: class name, string marker, and the bytes of a length field
 # that follow each length tag (any other tag is the length itself).
@@ -72,12 +73,12 @@ def _version(entry: dict) -> dict | None:
     return {"text": text, "ts": int(when + VENDOR_EPOCH) if timed else None}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def attributed_text(blobs: pd.Series) -> pd.Series:
     return blobs.map(typed_stream_text)
 
 
-@F.pandas_udf(f"struct<edits:array<{EDIT}>,error:string>")
+@F.pandas_udf(HISTORY_TYPE)
 def edit_history(blobs: pd.Series) -> pd.DataFrame:
     parsed = [edit_versions(b) for b in blobs]
     return pd.DataFrame({"edits": [p[0] for p in parsed], "error": [p[1] for p in parsed]})

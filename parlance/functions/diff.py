@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from parlance.model import DIFF_RUN
+from parlance.model import DIFF_TYPE
 
 
 def diff_runs(old: list[str], new: list[str]) -> list[dict]:
@@ -66,7 +66,7 @@ def _extend(runs: list[dict], op: str, tokens: list[str]) -> None:
         runs.append({"op": op, "text": "".join(tokens)})
 
 
-@F.pandas_udf(f"array<{DIFF_RUN}>")
+@F.pandas_udf(DIFF_TYPE)
 def token_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     """Runs between two token arrays."""
     return pd.Series([

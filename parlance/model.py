@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 EDIT = "struct<text:string,ts:bigint>"
 REACTION = "struct<emoji:string,label:string,sender:string,ts:bigint>"
 ATTACHMENT = "struct<source_ref:string,mime:string,filename:string,is_sticker:boolean,emoji_desc:string>"
-DIFF_RUN = "struct<op:string,text:string>"
 
 CANONICAL_DDL = f"""
     source string, chat_external_id string, external_id string, ts bigint, sender_raw string,
@@ -17,17 +16,21 @@ CANONICAL_DDL = f"""
 CHAT_SPEC_DDL = """
     slug string, title string, source_id string, subtitle string, is_group boolean, origin string
 """
-DRIFT_DDL = """
-    source string, schema_version int, severity string, kind string, table_name string,
-    column_name string, observed string, expected string, detail string, seen_at bigint
-"""
-
+EVENT_COLUMNS = [
+    "source", "schema_version", "severity", "kind", "table_name", "column_name", "observed", "expected", "detail", "seen_at",
+]
 CANONICAL_COLUMNS = [
     "source", "chat_external_id", "external_id", "ts", "sender_raw", "is_me", "text", "retracted",
     "edits", "reactions", "apps", "attachments",
 ]
 
 
+# The types the Arrow UDFs return.
+EDIT_TYPE = T.StructType([T.StructField("text", T.StringType()), T.StructField("ts", T.LongType())])
+HISTORY_TYPE = T.StructType([T.StructField("edits", T.ArrayType(EDIT_TYPE)), T.StructField("error", T.StringType())])
+DIFF_TYPE = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(" ".join(ddl.split()))
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.model import DRIFT_DDL, schema
+from parlance.model import EVENT_COLUMNS
 from parlance.operators.ordered import number_rows
 from parlance.sources.contracts import STORAGE_CLASSES, UNTYPED
 
 KEY = ["source", "kind", "table_name", "column_name", "observed"]
-EVENT_COLUMNS = schema(DRIFT_DDL).names
 
 
 def storage_class_of(declared: Column) -> Column:

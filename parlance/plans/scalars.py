@@ -163,3 +163,16 @@ def i_13(spark, d):
     pairs = vendor.version_pairs(spark, d)
     runs = token_diff(text.tokens(F.col("old")), text.tokens(F.col("new")))
     return pairs.select("conv_id", "turn", F.posexplode(runs).alias("k", "run")).select("conv_id", "turn", "k", "run.op", "run.text")
+
+
+@query("i_13b_edit_diff_versions", """
+    SELECT conv_id, turn, md5(old) AS old, md5(new) AS new FROM version_pair""")
+def i_13b(spark, d):
+    """Both versions put together again from the runs."""
+    pairs = vendor.version_pairs(spark, d)
+    rows = pairs.select("conv_id", "turn", token_diff(text.tokens(F.col("old")), text.tokens(F.col("new"))).alias("runs"))
+
+    def rebuilt(skip: str):
+        return F.md5(F.array_join(F.transform(F.filter("runs", lambda r: r["op"] != skip), lambda r: r["text"]), ""))
+
+    return rows.select("conv_id", "turn", rebuilt("ins").alias("old"), rebuilt("del").alias("new"))

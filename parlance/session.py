@@ -53,15 +53,13 @@ def work_root(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder; on a cluster the setting is required.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors can reach")
-    root = tempfile.mkdtemp(prefix="parlance-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="parlance-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
@@ -80,8 +78,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
 
 def local_path(path: str) -> str:
-    """Strip the scheme of a file URI for code that opens mounted files directly."""
-    return path[len("file:"):].replace("//", "/", 1) if path.startswith("file:") else path
+    """Plain path of a file URI, for code that opens files of a mounted folder directly."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"{path} is not a mounted folder")
+    return path
 
 
 def make_local_dir(path: str) -> str:

@@ -65,10 +65,10 @@ class SqliteSource(DataSource):
     def name(cls) -> str:
         return FORMAT
 
-    def schema(self) -> T.StructType:
+    def schema(self) -> T.StructType | str:
         table = self.options["table"]
         if table == COLUMNS_TABLE:
-            return T.StructType.fromDDL("table_name string, column_name string, declared_type string")
+            return "table_name string, column_name string, declared_type string"
         with connect(files_of(self.options)[0]) as con:
             rows = con.execute("SELECT name, type FROM pragma_table_info(?)", (table,)).fetchall()
         return T.StructType([
