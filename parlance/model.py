@@ -31,6 +31,23 @@ HISTORY_TYPE = T.StructType([T.StructField("edits", T.ArrayType(EDIT_TYPE)), T.S
 DIFF_TYPE = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), T.StructField("text", T.StringType())]))
 
 
+# Stored tables. Facts carry a bucket column on disk besides these.
+ARCHIVE_DDL = {
+    "person": "id bigint, display_name string, avatar_src string",
+    "handle": "value string, person_id bigint",
+    "person_alias": "value string, person_id bigint",
+    "device": "id bigint, slug string, name string, type string, owner_person_id bigint",
+    "chat": "id bigint, slug string, device_id bigint, title string, subtitle string, is_group boolean, origin string",
+    "chat_source": "chat_id bigint, source string, external_id string",
+    "chat_participant": "chat_id bigint, person_id bigint",
+    "message": f"id bigint, chat_id bigint, sender_person_id bigint, ts bigint, is_me boolean, text string, retracted boolean, "
+               f"edits array<{EDIT}>, reactions array<{REACTION}>, apps array<string>, media_status string, sync_state string, "
+               f"source string, external_id string",
+    "source_ref": "message_id bigint, source string, external_id string",
+    "media": "id bigint, message_id bigint, kind string, src string, cat string, portrait boolean, bytes bigint, content_hash string",
+}
+
+
 def schema(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(" ".join(ddl.split()))
 
