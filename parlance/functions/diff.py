@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.model import DIFF_TYPE
 
+TOKEN = re.compile(r"\s+|\S+")
+
 
 def diff_runs(old: list[str], new: list[str]) -> list[dict]:
     """Runs of kept, removed and added tokens along a longest common subsequence.
@@ -67,8 +72,13 @@ def _extend(runs: list[dict], op: str, tokens: list[str]) -> None:
 
 
 @F.pandas_udf(DIFF_TYPE)
-def token_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Runs between two token arrays."""
-    return pd.Series([
-        diff_runs([] if a is None else list(a), [] if b is None else list(b)) for a, b in zip(old, new)
-    ])
+def text_diff(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Runs between two texts, by words and the white space between them."""
+    return pd.Series([diff_runs(TOKEN.findall(a or ""), TOKEN.findall(b or "")) for a, b in zip(old, new)])
+
+
+def edit_diffs(pairs: DataFrame, old: str, new: str, name: str = "runs") -> DataFrame:
+    """Add the runs between two text columns. The comparison costs far more than moving the texts, and
+    input splits differ widely in that cost, so the pairs are spread evenly over all cores first."""
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    return pairs.repartition(4 * cores).withColumn(name, text_diff(old, new))

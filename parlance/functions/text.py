@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# White space as text editors and scripts understand it.
+SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+SPACE_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def empty_to_null(c: Column) -> Column:
@@ -19,7 +21,8 @@ def empty_to_null(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Delete object-replacement and replacement characters, then strip; NULL becomes ''."""
-    return strip(F.translate(F.coalesce(c, F.lit("")), "￼�", ""))
+    bare = F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("￼")), F.lit("�"))
+    return strip(bare)
 
 
 def strip_invisible(c: Column) -> Column:
@@ -36,7 +39,7 @@ def norm_handle(c: Column) -> Column:
 
 def norm_name(c: Column) -> Column:
     """Lower case with single spaces."""
-    return strip(F.regexp_replace(F.lower(c), r"(?U)[\s\x1c-\x1f]+", " "))
+    return strip(F.regexp_replace(F.lower(c), f"[{SPACE_CLASS}]+", " "))
 
 
 def initials(title: Column) -> Column:
@@ -62,11 +65,11 @@ def first_name(name: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Alternating runs of white space and of other characters, losing nothing."""
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\s+|\S+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[{SPACE_CLASS}]+|[^{SPACE_CLASS}]+"), F.lit(0))
 
 
 def urls(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"https?://\S+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"https?://[^{SPACE_CLASS}]+"), F.lit(0))
 
 
 def contains_ci(c: Column, needle: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parlance.functions.times import local_day
-from parlance.model import APPLE_LIVE_PREFIX, MEDIA_KINDS
+from parlance.model import APPLE_LIVE_PREFIX, MEDIA_KINDS, VISIBLE_MEDIA_STATUS
 from parlance.operators.timeline import visible
 
 LIVE_DEVICE_TYPE = "mac_live"
@@ -85,6 +85,27 @@ def counterpart_avatars(messages: DataFrame, chats: DataFrame, persons: DataFram
     )
 
 
+def chat_activity(messages: DataFrame, persons: DataFrame) -> DataFrame:
+    """Message counts and counterpart avatar of every chat in one pass over the messages.
+
+    Messages are counted per chat and sender first; names and chats meet these few rows only.
+    """
+    shown = F.col("media_status").isin(*VISIBLE_MEDIA_STATUS)
+    by_sender = messages.groupBy("chat_id", "sender_person_id").agg(
+        F.count_if(shown).alias("total"), F.count_if(shown & F.col("is_me")).alias("me"),
+        F.min(F.when(shown, F.col("ts"))).alias("first"), F.max(F.when(shown, F.col("ts"))).alias("last"),
+        F.count_if(shown & (F.col("sync_state") == "new")).alias("new_count"), F.count_if(~F.col("is_me")).alias("_sent"))
+    faces = persons.filter(F.col("avatar_src").isNotNull()).select(
+        F.col("id").alias("sender_person_id"), "avatar_src")
+    candidate = F.when(F.col("avatar_src").isNotNull() & (F.col("_sent") > 0), F.struct("_sent", -F.col("sender_person_id")))
+    return (
+        by_sender.join(faces, "sender_person_id", "left").groupBy("chat_id")
+        .agg(*[F.sum(c).alias(c) for c in ("total", "me", "new_count")], F.min("first").alias("first"), F.max("last").alias("last"),
+             F.max_by("avatar_src", candidate).alias("chat_avatar"))
+        .withColumn("them", F.col("total") - F.col("me"))
+    )
+
+
 def live_chats(chats: DataFrame, devices: DataFrame, chat_sources: DataFrame) -> DataFrame:
     """Chats of a live device that have a live anchor."""
     live_device = devices.filter(F.col("type") == LIVE_DEVICE_TYPE).select(F.col("id").alias("device_id"))
@@ -108,10 +129,10 @@ def chat_overview(chats: DataFrame, messages: DataFrame, media: DataFrame, devic
     live = live_chats(chats, devices, chat_sources).select(F.col("id").alias("chat_id"), F.lit(True).alias("live"))
     rows = (
         chats.withColumnRenamed("id", "chat_id").join(owned, "device_id", "left")
-        .join(message_counts(messages), "chat_id", "left")
+        .join(chat_activity(messages, persons), "chat_id", "left")
         .join(media_stats(messages, media), "chat_id", "left")
-        .join(counterpart_avatars(messages, chats, persons), "chat_id", "left")
         .join(live, "chat_id", "left")
+        .withColumn("chat_avatar", F.when(~F.col("is_group"), F.col("chat_avatar")))
     )
     return rows.fillna(0, ["total", "me", "them", "new_count", *MEDIA_COLUMNS]).fillna(False, ["live"])
 

@@ -278,25 +278,30 @@ def purge(archive: dict[str, DataFrame], chat_ids: DataFrame, devices: DataFrame
     by_hash = joins.used_only_by(media, messages, gone, "content_hash")
     owned = messages.join(gone, "chat_id", "left_semi").select(F.col("id").alias("message_id"))
     per_message = media.groupBy("message_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = {
-        "chats": gone.agg(F.count(F.lit(1))),
-        "messages": owned.agg(F.count(F.lit(1))),
-        "media_rows": per_message.join(owned, "message_id").agg(F.coalesce(F.sum("n"), F.lit(0))),
-        "files_deleted": by_src.agg(F.count_if("exclusive")),
-        "files_kept_shared": by_src.agg(F.count_if(~F.col("exclusive"))),
-        "bytes_freed": by_src.agg(F.coalesce(F.sum(F.when(F.col("exclusive"), F.col("bytes"))), F.lit(0))),
-        "originals_deleted": by_hash.agg(F.count_if("exclusive")),
-    }
-    stats = None
-    for name, value in counts.items():
-        row = value.toDF("value").select(F.lit(name).alias("name"), F.col("value").cast("bigint").alias("value"))
-        stats = row if stats is None else stats.unionByName(row)
+    freed = F.when(F.col("exclusive"), F.col("bytes"))
+    stats = _named(
+        gone.agg(F.count(F.lit(1)).alias("chats")),
+        owned.join(per_message, "message_id", "left").agg(
+            F.count(F.lit(1)).alias("messages"), F.coalesce(F.sum("n"), F.lit(0)).alias("media_rows")),
+        by_src.agg(F.count_if("exclusive").alias("files_deleted"), F.count_if(~F.col("exclusive")).alias("files_kept_shared"),
+                   F.coalesce(F.sum(freed), F.lit(0)).alias("bytes_freed")),
+        by_hash.agg(F.count_if("exclusive").alias("originals_deleted")))
     rest = drop_chats(archive, gone)
     if devices is not None:
         rest["device"] = archive["device"].join(devices.withColumnRenamed("device_id", "id"), "id", "left_anti")
     return Purge(rest, by_src.filter("exclusive").select("src", "bytes"), by_hash.filter("exclusive").select("content_hash"), stats)
 
 
+def _named(*single_rows: DataFrame) -> DataFrame:
+    """One-row frames as (name, value) rows."""
+    out = None
+    for row in single_rows:
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("value")) for c in row.columns])
+        named = row.select(F.explode(pairs).alias("p")).select("p.*")
+        out = named if out is None else out.unionByName(named)
+    return out
+
+
 def device_chats(chats: DataFrame, devices: DataFrame) -> DataFrame:
     return chats.join(devices.select("device_id"), "device_id", "left_semi").select(F.col("id").alias("chat_id"))
 

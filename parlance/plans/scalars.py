@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import jsontext, recognition, text, times
-from parlance.functions.diff import token_diff
+from parlance.functions.diff import edit_diffs
 from parlance.operators import export_text, overview
 from parlance.plans import given, vendor
 from parlance.plans.registry import query
@@ -160,17 +160,15 @@ def f_13(spark, d):
 @query("i_13_edit_diff")
 def i_13(spark, d):
     """Runs of kept, removed and added words between a version and the next, over whole texts."""
-    pairs = vendor.version_pairs(spark, d)
-    runs = token_diff(text.tokens(F.col("old")), text.tokens(F.col("new")))
-    return pairs.select("conv_id", "turn", F.posexplode(runs).alias("k", "run")).select("conv_id", "turn", "k", "run.op", "run.text")
+    rows = edit_diffs(vendor.version_pairs(spark, d), "old", "new")
+    return rows.select("conv_id", "turn", F.posexplode("runs").alias("k", "run")).select("conv_id", "turn", "k", "run.op", "run.text")
 
 
 @query("i_13b_edit_diff_versions", """
     SELECT conv_id, turn, md5(old) AS old, md5(new) AS new FROM version_pair""")
 def i_13b(spark, d):
     """Both versions put together again from the runs."""
-    pairs = vendor.version_pairs(spark, d)
-    rows = pairs.select("conv_id", "turn", token_diff(text.tokens(F.col("old")), text.tokens(F.col("new"))).alias("runs"))
+    rows = edit_diffs(vendor.version_pairs(spark, d), "old", "new")
 
     def rebuilt(skip: str):
         return F.md5(F.array_join(F.transform(F.filter("runs", lambda r: r["op"] != skip), lambda r: r["text"]), ""))
