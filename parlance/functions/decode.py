@@ -73,12 +73,15 @@ def _version(entry: dict) -> dict | None:
     return {"text": text, "ts": int(when + VENDOR_EPOCH) if timed else None}
 
 
-@F.pandas_udf(T.StringType())
-def attributed_text(blobs: pd.Series) -> pd.Series:
+def _texts(blobs: pd.Series) -> pd.Series:
     return blobs.map(typed_stream_text)
 
 
-@F.pandas_udf(HISTORY_TYPE)
-def edit_history(blobs: pd.Series) -> pd.DataFrame:
+def _histories(blobs: pd.Series) -> pd.DataFrame:
     parsed = [edit_versions(b) for b in blobs]
     return pd.DataFrame({"edits": [p[0] for p in parsed], "error": [p[1] for p in parsed]})
+
+
+# Declared non-deterministic so that a filter on a decoded value does not make Spark decode it twice.
+attributed_text = F.pandas_udf(_texts, T.StringType()).asNondeterministic()
+edit_history = F.pandas_udf(_histories, HISTORY_TYPE).asNondeterministic()

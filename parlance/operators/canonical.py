@@ -28,38 +28,41 @@ def _source(source: str | Column) -> Column:
 
 
 def apple_rows(store: dict[str, DataFrame], me_name: str) -> DataFrame:
-    """Message rows with cleaned text, decoded where the text column is empty, and edit history.
+    """Message rows that show something: no reactions, a date, and text, files or an app label.
 
-    The two decoders see a blob only where it is needed and NULL elsewhere; all other columns stay in
-    the JVM, and the store is scanned once.
+    The text is cleaned and, where its column is empty, decoded; ``error`` names a misshapen edit blob.
+    The decoders see a blob only where it is needed and NULL elsewhere, after all rows that can be told
+    without them are gone; the other columns stay in the JVM, and the store is scanned once.
     """
     kind = F.col("associated_message_type")
-    rows = stores.apple_messages(store).withColumn("_clean", clean_text(F.col("text")))
-    blob = F.when((F.col("_clean") == "") & (kind == 0), F.col("attributedBody"))
-    decoded = rows.withColumns({"_decoded": attributed_text(blob), "_history": edit_history("message_summary_info")})
-    sender = F.when(F.col("is_from_me") != 0, F.lit(me_name)).otherwise(F.coalesce("sender_handle", F.lit("")))
-    return decoded.withColumns({
-        "body": F.when(F.col("_clean") == "", F.coalesce("_decoded", F.lit(""))).otherwise(F.col("_clean")),
-        "edits": F.coalesce("_history.edits", _none(EDIT)), "error": F.col("_history.error"), "sender": sender,
-    }).drop("_decoded", "_history", "_clean", "text", "attributedBody", "message_summary_info")
+    rows = stores.apple_messages(store).filter(~is_tapback_add(kind) & ~is_tapback_remove(kind) & F.col("ts").isNotNull())
+    rows = rows.withColumn("_clean", clean_text(F.col("text"))).drop("text")
+    rows = rows.withColumn("_blob", F.when((F.col("_clean") == "") & (kind == 0), F.col("attributedBody"))).drop("attributedBody")
+    rows = rows.withColumn("_decoded", attributed_text("_blob")).drop("_blob")
+    has_files = F.coalesce("cache_has_attachments", F.lit(0)) != 0
+    rows = rows.withColumns({
+        "body": F.when(F.col("_clean") == "", F.coalesce("_decoded", F.lit(""))).otherwise(F.col("_clean")), "has_files": has_files,
+    }).drop("_clean", "_decoded")
+    rows = rows.withColumn("label", F.when((F.col("body") == "") & ~F.col("has_files"), balloon_label(F.col("balloon_bundle_id"))))
+    shown = rows.filter((F.col("body") != "") | F.col("has_files") | F.col("label").isNotNull())
+    history = shown.withColumn("_history", edit_history("message_summary_info")).drop("message_summary_info")
+    return history.withColumns({
+        "edits": F.coalesce("_history.edits", _none(EDIT)), "error": F.col("_history.error"), "sender": _apple_sender(me_name),
+    }).drop("_history")
+
+
+def _apple_sender(me_name: str) -> Column:
+    return F.when(F.col("is_from_me") != 0, F.lit(me_name)).otherwise(F.coalesce("sender_handle", F.lit("")))
 
 
 def apple_canonical(store: dict[str, DataFrame], source: str | Column, me_name: str) -> DataFrame:
-    """Canonical rows of all chats: reactions folded onto their targets, rows without content left out."""
-    kind = F.col("associated_message_type")
+    """Canonical rows of all chats, with reactions folded onto their targets."""
     # Reactions need neither text nor blobs: their own scan reads narrow columns of the reaction rows only.
-    scan = stores.apple_messages(store)
-    sender = F.when(F.col("is_from_me") != 0, F.lit(me_name)).otherwise(F.coalesce("sender_handle", F.lit("")))
-    folded = reactions.folded_reactions(reactions.tapback_events(scan.withColumn("sender", sender)))
+    scan = stores.apple_messages(store).withColumn("sender", _apple_sender(me_name))
+    folded = reactions.folded_reactions(reactions.tapback_events(scan))
     folded = folded.select("chat_id", F.col("target").alias("guid"), "reactions")
     files = stores.attachment_lists(stores.apple_attachments(store))
-
-    rows = apple_rows(store, me_name).filter(~is_tapback_add(kind) & ~is_tapback_remove(kind))
-    has_files = F.coalesce("cache_has_attachments", F.lit(0)) != 0
-    label = F.when((F.col("body") == "") & ~has_files, balloon_label(F.col("balloon_bundle_id")))
-    rows = rows.withColumns({"_label": label, "_files": has_files}).filter(
-        F.col("ts").isNotNull() & F.col("error").isNull()
-        & ((F.col("body") != "") | F.col("_files") | F.col("_label").isNotNull()))
+    rows = apple_rows(store, me_name).filter(F.col("error").isNull())
     return (
         rows.join(folded, ["chat_id", "guid"], "left").join(files, "rowid", "left")
         .select(
@@ -68,9 +71,8 @@ def apple_canonical(store: dict[str, DataFrame], source: str | Column, me_name:
             (F.coalesce("is_from_me", F.lit(0)) != 0).alias("is_me"), empty_to_null(F.col("body")).alias("text"),
             (F.coalesce("date_retracted", F.lit(0)) != 0).alias("retracted"), "edits",
             F.coalesce("reactions", _none(REACTION)).cast(f"array<{REACTION}>").alias("reactions"),
-            F.when(F.col("_label").isNotNull(), F.array("_label")).otherwise(F.array().cast(NO_APPS)).alias("apps"),
-            F.when(F.col("_files"), F.col("attachments")).alias("_found"))
-        .withColumn("attachments", F.coalesce("_found", _none(ATTACHMENT))).drop("_found")
+            F.when(F.col("label").isNotNull(), F.array("label")).otherwise(F.array().cast(NO_APPS)).alias("apps"),
+            F.coalesce(F.when(F.col("has_files"), F.col("attachments")), _none(ATTACHMENT)).alias("attachments"))
         .select(*CANONICAL_COLUMNS)
     )
 

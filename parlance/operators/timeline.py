@@ -198,31 +198,26 @@ def sender_facets(items: DataFrame) -> DataFrame:
 # --- day groups and search -------------------------------------------------------------------------
 
 
-def day_groups(messages: DataFrame, chats: DataFrame, zone: str = "UTC") -> DataFrame:
+def day_groups(messages: DataFrame, chats: DataFrame, persons: DataFrame, zone: str = "UTC") -> DataFrame:
     """Day breaks, alternating day tone and sender headers of group chats.
 
     The previous sender never reaches across a day, so rows are ordered per chat, day and hour; the
     tone is ranked on the distinct days.
     """
-    rows = visible(messages).withColumn("day", local_day(F.col("ts"), zone))
-    rows = rows.join(chats.select(F.col("id").alias("chat_id"), "is_group"), "chat_id")
+    shown = visible(messages).withColumn("day", local_day(F.col("ts"), zone))
+    rows = with_sender(shown, persons).join(chats.select(F.col("id").alias("chat_id"), "is_group"), "chat_id")
     marked = previous_row(rows, ["chat_id", "day"], F.floor(F.col("ts") / 3600), ["ts", "id"],
                           ["is_me", "sender"], "_prev")
     changed = F.col("_prev").isNull() | F.col("_prev.is_me") | (F.col("_prev.sender") != F.col("sender"))
+    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy("day"))
+    tones = shown.select("chat_id", "day").distinct().withColumn("tone", F.when(rank % 2 == 1, "a").otherwise("b"))
     return (
         marked.withColumn("day_break", F.col("_prev").isNull())
         .withColumn("sender_header", F.col("is_group") & ~F.col("is_me") & changed)
-        .join(_day_tones(rows), ["chat_id", "day"])
-        .drop("_prev")
+        .join(tones, ["chat_id", "day"]).drop("_prev")
     )
 
 
-def _day_tones(rows: DataFrame) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("chat_id").orderBy("day"))
-    days = rows.select("chat_id", "day").distinct()
-    return days.withColumn("tone", F.when(rank % 2 == 1, "a").otherwise("b"))
-
-
 def search(messages: DataFrame, media: DataFrame, transcripts: DataFrame, ocr: DataFrame, needle: str,
            regex: bool = False) -> DataFrame:
     """Hits in message text, transcripts and image text, by case-insensitive substring or pattern."""

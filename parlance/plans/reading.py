@@ -197,6 +197,5 @@ def l_07(spark, d):
            is_group AND NOT is_me AND (k = 1 OR prev_me OR prev_sender <> sender) AS sender_header
     FROM marked""")
 def w_01(spark, d):
-    rows = timeline.with_sender(given.message(spark, d), given.person(spark, d))
-    return timeline.day_groups(rows, given.chat(spark, d)).select(
+    return timeline.day_groups(given.message(spark, d), given.chat(spark, d), given.person(spark, d)).select(
         "id", "chat_id", "day", "day_break", "tone", "sender_header")
