@@ -27,8 +27,13 @@ def whatsapp_seconds(seconds: Column) -> Column:
 
 
 def ntz_seconds(ts: Column) -> Column:
-    """Whole seconds from the epoch to a ``timestamp_ntz`` read as UTC."""
-    return F.timestamp_diff("SECOND", F.expr(EPOCH_NTZ), ts)
+    """Whole seconds from the epoch to a ``timestamp_ntz`` read as UTC.
+
+    Built from the calendar fields: a difference of timestamps would pass through the session zone and
+    be off where its daylight saving time differs from that of 1970-01-01.
+    """
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
 def seconds_ntz(ts: Column, zone: str = "UTC") -> Column:

@@ -89,3 +89,17 @@ def test_text_dominance(spark):
 def test_transcripts(spark, args, want):
     verdict = value(spark, recognition.transcript_verdict(*[F.lit(a) for a in args]))
     assert (verdict["text"], verdict["note"]) == want
+
+
+def test_wall_clock_seconds_follow_the_named_zone_only(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    noon = F.expr("TIMESTAMP_NTZ'2024-07-01 12:00:00.75'")
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert value(spark, times.ntz_seconds(noon)) == 1719835200
+            assert value(spark, times.wall_clock_seconds(noon, "Europe/Berlin")) == 1719828000
+            back = times.seconds_ntz(F.lit(1719828000), "Europe/Berlin")
+            assert value(spark, F.date_format(back, "yyyy-MM-dd HH:mm:ss")) == "2024-07-01 12:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
