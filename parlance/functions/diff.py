@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,11 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
     runs: list[dict] = []
     _extend(runs, "keep", old[:head])
     a, b = old[head:], new[head:]
-    drop_first = _drop_first(a, b)
+    steps = _suffix_steps(a, b)
+
+    def common(i: int, j: int) -> int:
+        return (steps[i] & ((1 << (len(b) - j)) - 1)).bit_count()
+
     i = j = 0
     gone: list[str] = []
     come: list[str] = []
@@ -36,7 +39,7 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
             _extend(runs, "keep", [a[i]])
             gone, come = [], []
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and drop_first[i][j >> 3] >> (7 - (j & 7)) & 1):
+        elif j == len(b) or (i < len(a) and common(i + 1, j) >= common(i, j + 1)):
             gone.append(a[i])
             i += 1
         else:
@@ -47,19 +50,20 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
     return runs
 
 
-def _drop_first(old: list[str], new: list[str]) -> list[np.ndarray]:
-    """One bit per cell: dropping the old token loses nothing against skipping the new one."""
-    ids = {t: k for k, t in enumerate(dict.fromkeys(old + new))}
-    b = np.array([ids[t] for t in new], dtype=np.int64)
-    below = np.zeros(len(new) + 1, dtype=np.int32)
-    bits: list[np.ndarray] = [np.zeros(0, dtype=np.uint8)] * len(old)
-    for i in range(len(old) - 1, -1, -1):
-        best = np.where(b == ids[old[i]], below[1:] + 1, below[:-1])
-        row = np.zeros_like(below)
-        row[:-1] = np.maximum.accumulate(best[::-1])[::-1]
-        bits[i] = np.packbits(below[:-1] >= row[1:])
-        below = row
-    return bits
+def _suffix_steps(a: list[str], b: list[str]) -> list[int]:
+    """For every suffix of ``a``, the positions where its common subsequence with ever longer suffixes of
+    ``b`` grows, as bits counted from the end of ``b`` (bit-parallel row updates on whole integers)."""
+    found: dict[str, int] = {}
+    for k, token in enumerate(reversed(b)):
+        found[token] = found.get(token, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    flat = full
+    steps = [0] * (len(a) + 1)
+    for i in range(len(a) - 1, -1, -1):
+        hits = flat & found.get(a[i], 0)
+        flat = ((flat + hits) | (flat - hits)) & full
+        steps[i] = full & ~flat
+    return steps
 
 
 def _extend(runs: list[dict], op: str, tokens: list[str]) -> None:
