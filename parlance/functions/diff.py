@@ -75,12 +75,15 @@ def _extend(runs: list[dict], op: str, tokens: list[str]) -> None:
         runs.append({"op": op, "text": "".join(tokens)})
 
 
-@F.pandas_udf(DIFF_TYPE)
-def text_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Runs between two texts, by words and the white space between them."""
+def _diffs(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([diff_runs(TOKEN.findall(a or ""), TOKEN.findall(b or "")) for a, b in zip(old, new)])
 
 
+# Runs between two texts, by words and the white space between them. Declared non-deterministic so that
+# exploding the runs does not make Spark compute them a second time for a filter in front of the spread.
+text_diff = F.pandas_udf(_diffs, DIFF_TYPE).asNondeterministic()
+
+
 def edit_diffs(pairs: DataFrame, old: str, new: str, name: str = "runs") -> DataFrame:
     """Add the runs between two text columns. The comparison costs far more than moving the texts, and
     input splits differ widely in that cost, so the pairs are spread evenly over all cores first."""
