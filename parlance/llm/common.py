@@ -14,7 +14,8 @@ SPACE = "\\x20\\x09-\\x0D"
 WORDS = re.compile(f"[^{SPACE}]+")
 CHUNK_CHARS = 4_000_000
 
-__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks"]
+__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks",
+           "labelled_sample"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,3 +45,19 @@ def text_chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tupl
             start, size = end, 0
     if start < end:
         yield start, end
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key_remainder: Column) -> list[tuple[str, int]]:
+    """Whole texts with their 0/1 label, at most ``per_class`` of each, chosen by hashed id among the rows that may teach.
+
+    Only this bounded sample reaches the driver. Labels given twice for an id count once, the larger one.
+    """
+    ids = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~key_remainder)
+           .groupBy("doc_id").agg(F.max(label).alias("_label")))
+    picked = None
+    for value in (0, 1):
+        part = ids.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    rows = (docs.select("doc_id", whole_text().alias("_text"))
+            .join(F.broadcast(picked), "doc_id").select("doc_id", "_text", "_label").collect())
+    return [(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_text"]))]

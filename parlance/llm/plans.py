@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import exact_dedup, mixing, packing, token_counts
+from parlance.llm import exact_dedup, mixing, packing, quality, token_counts, toxicity
 from parlance.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
             .orderBy(F.col("position").asc_nulls_last(), "doc_id"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,7 +51,7 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op6_exact_dedup, op9_pack_sequences, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op6_exact_dedup, op9_pack_sequences, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
