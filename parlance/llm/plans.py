@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import brown, exact_dedup, mixing, packing, pii, quality, token_counts, topk, toxicity
+from parlance.llm import brown, exact_dedup, mixing, near_dedup, packing, pii, quality, token_counts, topk, toxicity
 from parlance.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -78,7 +82,7 @@ FROM t WINDOW w AS (PARTITION BY norm)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_exact_top_k, op5_class_lm, op6_exact_dedup, op8_personal_data, op9_pack_sequences, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_toxicity, op3_quality, op4_exact_top_k, op5_class_lm, op6_exact_dedup, op7_near_dedup, op8_personal_data, op9_pack_sequences, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
