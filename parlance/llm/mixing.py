@@ -12,6 +12,8 @@ Repeated rows are documents of their own. An empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,33 +73,32 @@ def _ranked(sums: DataFrame, by_name: Column) -> DataFrame:
     return ranged.withColumn("_rank", (F.row_number().over(inside) - 1 + offset).cast("long")).drop("_order", "_part")
 
 
-def _segments(schedule) -> list[tuple[float, float, float, float, float]]:
-    """(start time, length, first weight, change of weight, integral before) with a total integral of 1."""
-    whole = sum((b - a) * (u + v) / 2 for (a, u), (b, v) in zip(schedule, schedule[1:]))
-    out, done = [], 0.0
-    for (a, u), (b, v) in zip(schedule, schedule[1:]):
-        out.append((a, b - a, u / whole, (v - u) / whole, done))
-        done += (b - a) * (u + v) / 2 / whole
-    return out
+def _corners(schedule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times, weights and integrals at the corners of a schedule, scaled to a whole integral of 1."""
+    time, weight = (np.array(x, float) for x in zip(*schedule))
+    parts = np.diff(time) * (weight[1:] + weight[:-1]) / 2
+    return time, weight / parts.sum(), np.concatenate(([0.0], np.cumsum(parts) / parts.sum()))
 
 
-def _invert(share: Column, schedule) -> Column:
-    """The time at which the schedule's integral reaches ``share``."""
-    time = None
-    for start, length, weight, change, before in _segments(schedule):
-        part = F.greatest(share - F.lit(before), F.lit(0.0)) / F.lit(length)
-        root = F.sqrt(F.greatest(F.lit(weight * weight) + 2 * change * part, F.lit(0.0)))
-        here = F.lit(start) + F.lit(length) * F.coalesce(2 * part / F.nullif(F.lit(weight) + root, F.lit(0.0)), F.lit(0.0))
-        time = here if time is None else F.when(share >= before, here).otherwise(time)
-    return F.least(F.greatest(time, F.lit(schedule[0][0])), F.lit(schedule[-1][0]))
+def integral(at: np.ndarray, schedule) -> np.ndarray:
+    """The share of a source's demand that has come up by some times."""
+    time, weight, done = _corners(schedule)
+    k = np.clip(np.searchsorted(time, at, "right") - 1, 0, len(time) - 2)
+    length = np.diff(time)[k]
+    s = np.clip((at - time[k]) / length, 0, 1)
+    return done[k] + length * s * (weight[k] + (weight[k + 1] - weight[k]) * s / 2)
 
 
-def _integral(time: Column, schedule) -> Column:
-    total = F.lit(0.0)
-    for start, length, weight, change, _ in _segments(schedule):
-        s = F.greatest(F.least((time - F.lit(start)) / F.lit(length), F.lit(1.0)), F.lit(0.0))
-        total = total + F.lit(length) * (F.lit(weight) * s + F.lit(change / 2) * s * s)
-    return total
+def inverse(share: np.ndarray, schedule) -> np.ndarray:
+    """The times at which the integral reaches some shares: the root of a quadratic in each segment."""
+    time, weight, done = _corners(schedule)
+    k = np.clip(np.searchsorted(done, share, "right") - 1, 0, len(time) - 2)
+    length = np.diff(time)[k]
+    part = np.clip(share - done[k], 0, None) / length
+    root = np.sqrt(np.maximum(weight[k] ** 2 + 2 * (weight[k + 1] - weight[k]) * part, 0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(part > 0, 2 * part / (weight[k] + root), 0.0)
+    return time[k] + length * np.clip(s, 0, 1)
 
 
 def curriculum(docs: DataFrame, cycle=CYCLE, schedules=SCHEDULES, payload: Column | None = None) -> DataFrame:
@@ -134,19 +135,24 @@ def curriculum(docs: DataFrame, cycle=CYCLE, schedules=SCHEDULES, payload: Colum
                  for k in range(MOST_REPEATS)), F.lit(0))
     rows = rows.withColumn("_before", before).withColumn("taken", taken.cast("long"))
 
-    def position(k: int) -> Column:
-        share = F.coalesce((F.lit(k) * F.col("_words") + F.col("_before")) / F.nullif(F.col("_target"), F.lit(0.0)), F.lit(0.0))
-        time = None
+    @F.pandas_udf("long")
+    def position(kind: pd.Series, share: pd.Series) -> pd.Series:
+        out = np.zeros(len(kind))
         for c, schedule in enumerate(schedules):
-            here = _invert(share, schedule)
-            time = here if time is None else F.when(F.col("_rank") % len(schedules) == c, here).otherwise(time)
-        return F.floor(sum((F.lit(float(demand.get(c, 0.0))) * _integral(time, s) for c, s in enumerate(schedules)), F.lit(0.0)))
+            here = (kind == c).to_numpy()
+            time = inverse(share.to_numpy()[here], schedule)
+            out[here] = sum(demand.get(j, 0.0) * integral(time, other) for j, other in enumerate(schedules))
+        return pd.Series(np.floor(out).astype(np.int64))
+
+    def due(k: int) -> Column:
+        share = (F.lit(k) * F.col("_words") + F.col("_before")) / F.nullif(F.col("_target"), F.lit(0.0))
+        return position((F.col("_rank") % len(schedules)).cast("int"), F.coalesce(share, F.lit(0.0)))
 
     # A copy of which less than half is taken stands in the word counts alone.
     copies = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.round(F.col("taken") / F.col("_size"))).cast("int")
     kept = ["payload"] if payload is not None else []
     return (rows.withColumn("copies", copies)
-            .withColumn("positions", F.slice(F.array(*[position(k) for k in range(MOST_REPEATS)]), F.lit(1), F.col("copies")))
+            .withColumn("positions", F.slice(F.array(*[due(k) for k in range(MOST_REPEATS)]), F.lit(1), F.col("copies")))
             .select("doc_id", F.col("_size").alias("size"), F.col("_words").alias("source_size"),
                     F.col("_target").alias("target"), "taken", "copies", "positions", *kept))
 
