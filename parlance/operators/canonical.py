@@ -20,10 +20,6 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _source(source: str | Column) -> Column:
-    return F.lit(source) if isinstance(source, str) else source
-
-
 # --- Apple ------------------------------------------------------------------------------------------
 
 
@@ -55,18 +51,18 @@ def _apple_sender(me_name: str) -> Column:
     return F.when(F.col("is_from_me") != 0, F.lit(me_name)).otherwise(F.coalesce("sender_handle", F.lit("")))
 
 
-def apple_canonical(store: dict[str, DataFrame], source: str | Column, me_name: str) -> DataFrame:
+def apple_canonical(store: dict[str, DataFrame], source: str | Column | dict[str, str], me_name: str) -> DataFrame:
     """Canonical rows of all chats, with reactions folded onto their targets."""
     # Reactions need neither text nor blobs: their own scan reads narrow columns of the reaction rows only.
     scan = stores.apple_messages(store).withColumn("sender", _apple_sender(me_name))
     folded = reactions.folded_reactions(reactions.tapback_events(scan))
-    folded = folded.select("chat_id", F.col("target").alias("guid"), "reactions")
+    folded = folded.select(stores.STORE, "chat_id", F.col("target").alias("guid"), "reactions")
     files = stores.attachment_lists(stores.apple_attachments(store))
     rows = apple_rows(store, me_name).filter(F.col("error").isNull())
     return (
-        rows.join(folded, ["chat_id", "guid"], "left").join(files, "rowid", "left")
+        rows.join(folded, [stores.STORE, "chat_id", "guid"], "left").join(files, [stores.STORE, "rowid"], "left")
         .select(
-            _source(source).alias("source"), F.col("chat_id").cast("string").alias("chat_external_id"),
+            stores.per_store(source).alias("source"), F.col("chat_id").cast("string").alias("chat_external_id"),
             F.col("rowid").cast("string").alias("external_id"), "ts", F.col("sender").alias("sender_raw"),
             (F.coalesce("is_from_me", F.lit(0)) != 0).alias("is_me"), empty_to_null(F.col("body")).alias("text"),
             (F.coalesce("date_retracted", F.lit(0)) != 0).alias("retracted"), "edits",
@@ -77,9 +73,9 @@ def apple_canonical(store: dict[str, DataFrame], source: str | Column, me_name:
     )
 
 
-def apple_failures(store: dict[str, DataFrame], source: str, me_name: str, seen_at: int) -> DataFrame:
+def apple_failures(store: dict[str, DataFrame], source: str | Column | dict[str, str], me_name: str, seen_at: int) -> DataFrame:
     """Rows whose edit blob has an unexpected shape, as drift events."""
-    rows = apple_rows(store, me_name).withColumn("source", F.lit(source))
+    rows = apple_rows(store, me_name).withColumn("source", stores.per_store(source))
     return drift.parse_failures(rows, contracts.APPLE_VERSION, "message", F.col("error"),
                                 F.concat(F.lit("edit history of row "), "rowid"), seen_at)
 
@@ -94,9 +90,9 @@ def message_kind(code: Column) -> Column:
 
 def whatsapp_senders(store: dict[str, DataFrame], me_name: str) -> DataFrame:
     """Messages with their session, kind and the sender by chat type."""
-    sessions = stores.whatsapp_sessions(store).select(F.col("Z_PK").alias("session"), "is_group", "partner")
-    members = store["ZWAGROUPMEMBER"].select(
-        F.col("Z_PK").alias("group_member"), F.col("ZCHATSESSION").alias("session"),
+    sessions = stores.whatsapp_sessions(store).select(stores.STORE, F.col("Z_PK").alias("session"), "is_group", "partner")
+    members = stores.keyed(store["ZWAGROUPMEMBER"]).select(
+        stores.STORE, F.col("Z_PK").alias("group_member"), F.col("ZCHATSESSION").alias("session"),
         empty_to_null(F.col("ZMEMBERJID")).alias("member_jid"))
     from_jid = F.coalesce("from_jid", F.lit(""))
     sender = (
@@ -105,16 +101,17 @@ def whatsapp_senders(store: dict[str, DataFrame], me_name: str) -> DataFrame:
         .otherwise(F.coalesce(empty_to_null(F.col("partner")), from_jid))
     )
     return (
-        stores.whatsapp_messages(store).join(sessions, "session").join(members, ["group_member", "session"], "left")
+        stores.whatsapp_messages(store).join(sessions, [stores.STORE, "session"])
+        .join(members, [stores.STORE, "group_member", "session"], "left")
         .withColumns({"sender": sender, "kind": message_kind(F.col("msg_type")), "ts": whatsapp_seconds(F.col("msg_date")),
                       "body": clean_text(F.col("text"))})
     )
 
 
-def whatsapp_canonical(store: dict[str, DataFrame], source: str | Column, me_name: str) -> DataFrame:
+def whatsapp_canonical(store: dict[str, DataFrame], source: str | Column | dict[str, str], me_name: str) -> DataFrame:
     """Canonical rows of all sessions."""
     kind = F.col("kind")
-    rows = whatsapp_senders(store, me_name).join(stores.whatsapp_media(store), "pk", "left")
+    rows = whatsapp_senders(store, me_name).join(stores.whatsapp_media(store), [stores.STORE, "pk"], "left")
     carries_file = kind.isin(*contracts.MIME_BY_KIND, "media")
     path = F.when(carries_file, empty_to_null(F.col("local_path")))
     place = F.when(F.col("lat").isNotNull(), F.format_string("📍 Location (%.5f, %.5f)", "lat", "lon")).otherwise(
@@ -133,7 +130,7 @@ def whatsapp_canonical(store: dict[str, DataFrame], source: str | Column, me_nam
         & (F.col("_deleted") | (F.col("body") != "") | F.col("_path").isNotNull() | F.col("_label").isNotNull()))
     stanza = F.coalesce(empty_to_null(F.col("stanza_id")), F.col("pk").cast("string"))
     return kept.select(
-        _source(source).alias("source"), F.col("session").cast("string").alias("chat_external_id"), stanza.alias("external_id"),
+        stores.per_store(source).alias("source"), F.col("session").cast("string").alias("chat_external_id"), stanza.alias("external_id"),
         "ts", F.col("sender").alias("sender_raw"), (F.coalesce("is_from_me", F.lit(0)) != 0).alias("is_me"),
         empty_to_null(F.col("body")).alias("text"), F.col("_deleted").alias("retracted"), _none(EDIT).alias("edits"),
         _none(REACTION).alias("reactions"),
@@ -142,14 +139,22 @@ def whatsapp_canonical(store: dict[str, DataFrame], source: str | Column, me_nam
     ).select(*CANONICAL_COLUMNS)
 
 
-def whatsapp_failures(store: dict[str, DataFrame], source: str, seen_at: int) -> DataFrame:
+def whatsapp_failures(store: dict[str, DataFrame], source: str | Column | dict[str, str], seen_at: int) -> DataFrame:
     """Messages without a time, as drift events."""
-    rows = stores.whatsapp_messages(store).withColumn("source", F.lit(source))
+    rows = stores.whatsapp_messages(store).withColumn("source", stores.per_store(source))
     return drift.parse_failures(
         rows, contracts.WHATSAPP_VERSION, "ZWAMESSAGE", F.when(F.col("msg_date").isNull(), "NULL"),
         F.concat(F.lit("message "), "pk", F.lit(" has no time")), seen_at, column="ZMESSAGEDATE")
 
 
+def misfit_events(store: dict[str, DataFrame], source: str | Column | dict[str, str], version: int, seen_at: int) -> DataFrame:
+    """Values the source could not read as their column's type, as drift events, one per kind of misfit and table."""
+    rows = stores.misfits(store).groupBy(stores.STORE, "table_name", "misfit").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("source", stores.per_store(source)).withColumnRenamed("table_name", "_table")
+    events = drift.parse_failures(rows, version, "", F.col("misfit"), F.concat(F.col("n").cast("string"), F.lit(" rows of "), "_table"), seen_at)
+    return events.withColumn("table_name", F.substring_index("detail", " ", -1))
+
+
 def enum_events(store: dict[str, DataFrame], source: str, version: int, enums: dict, seen_at: int) -> DataFrame:
     """Unknown values of every enumerated column of a store."""
     out = None

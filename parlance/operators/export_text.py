@@ -73,6 +73,11 @@ APP_MARKERS = [
 ATTACHMENT_MARK = r"(?iU)<\s*(?:" + "|".join(ATTACHMENT_KEYWORDS) + r")\s*:\s*([^>]+)>"
 
 
+def export_source() -> Column:
+    """Every folder is a source of its own: its messages are numbered from 1, and its faults stop no other folder."""
+    return F.concat(F.lit(f"{SOURCE}:"), "folder")
+
+
 def header_format(line: Column) -> Column:
     """Key of the first format a line matches, NULL for other lines."""
     out = None
@@ -161,7 +166,7 @@ def classify(messages: DataFrame, me_name: str | Column) -> DataFrame:
         n.alias("source_ref"), F.coalesce(choose(F.lower(split_extension(n)), MIME_BY_EXTENSION), F.lit("")).alias("mime"),
         n.alias("filename"), F.lit(False).alias("is_sticker"), F.lit("").alias("emoji_desc")))
     return kept.select(
-        F.lit(SOURCE).alias("source"), F.col("folder").alias("chat_external_id"), F.lit(None).cast("string").alias("external_id"),
+        export_source().alias("source"), F.col("folder").alias("chat_external_id"), F.col("message_no").cast("string").alias("external_id"),
         "ts", F.col("sender").alias("sender_raw"), (F.col("sender") == me).alias("is_me"), text.alias("text"),
         F.col("_deleted").alias("retracted"), F.array().cast(f"array<{EDIT}>").alias("edits"),
         F.array().cast(f"array<{REACTION}>").alias("reactions"),
@@ -203,7 +208,7 @@ def probe_formats(lines: DataFrame, seen_at: int, n: int = HEAD_LINES) -> DataFr
         "folder", F.lit("warn").alias("severity"), F.lit("unknown_export_locale").alias("kind"), "observed",
         F.lit("one of [" + ", ".join(sorted(ATTACHMENT_KEYWORDS)) + "]").alias("expected"))
     return unknown.unionByName(locale).select(
-        F.lit(SOURCE).alias("source"), F.lit(CONTRACT_VERSION).alias("schema_version"), "severity", "kind",
+        export_source().alias("source"), F.lit(CONTRACT_VERSION).alias("schema_version"), "severity", "kind",
         F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("string").alias("column_name"), "observed",
         "expected", F.concat(F.lit("export folder "), "folder").alias("detail"), F.lit(seen_at).cast("bigint").alias("seen_at"),
         "folder")
@@ -213,6 +218,6 @@ def parse_failures(assembled: DataFrame, seen_at: int) -> DataFrame:
     """Assembled messages whose header carries an impossible date."""
     from parlance.operators.drift import parse_failures as failures
 
-    rows = assembled.withColumn("source", F.lit(SOURCE))
+    rows = assembled.withColumn("source", export_source())
     error = F.when(F.col("ts").isNull(), "ValueError")
     return failures(rows, CONTRACT_VERSION, "_chat.txt", error, F.concat(F.lit("header date in "), "folder"), seen_at)

@@ -34,10 +34,15 @@ def unseen(canonical: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def once_per_anchor(canonical: DataFrame, prefer: str = "external_id") -> DataFrame:
-    """One row per anchor where a run delivers an id twice; the lowest ``prefer`` stays."""
+    """One row per anchor where a run delivers an id twice; the lowest ``prefer`` stays, among equals the lowest row.
+
+    Rows without an external id have no anchor and all stay.
+    """
     rest = [c for c in canonical.columns if c not in ANCHOR]
-    kept = canonical.groupBy(*ANCHOR).agg(F.min_by(F.struct(*rest), prefer).alias("_row"))
-    return kept.select(*ANCHOR, "_row.*").select(*canonical.columns)
+    named = canonical.filter(F.col("external_id").isNotNull())
+    kept = named.groupBy(*ANCHOR).agg(F.min(F.struct(F.col(prefer).alias("_first"), F.struct(*rest).alias("_row"))).alias("_kept"))
+    one = kept.select(*ANCHOR, "_kept._row.*").select(*canonical.columns)
+    return one.unionByName(canonical.filter(F.col("external_id").isNull()))
 
 
 def changed(canonical: DataFrame, stored: DataFrame, fields: tuple[str, ...] = ("text", "retracted", "edits")) -> DataFrame:

@@ -26,7 +26,9 @@ class Changes:
 
 
 def anchor_key() -> Column:
-    return F.concat_ws("\u001f", "source", "external_id")
+    """The anchor as text; rows without one go by chat, time, sender and content."""
+    loose = F.to_json(F.struct("chat_external_id", "ts", "sender_raw", "text", "attachments"))
+    return F.concat_ws("\u001f", "source", F.coalesce("external_id", loose))
 
 
 def first_fill(rows: DataFrame, messages: DataFrame) -> DataFrame:
@@ -38,8 +40,10 @@ def first_fill(rows: DataFrame, messages: DataFrame) -> DataFrame:
 def find_chats(specs: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chat ids of specs by slug, creating the missing ones: (source_id, slug, chat_id) and new chats.
 
-    ``specs`` carries slug, source_id, title, subtitle, is_group, origin, device_id.
+    ``specs`` carries slug, source_id, title, subtitle, is_group, origin, device_id and, where chats of several
+    sources come together, ``source``.
     """
+    named = ["source"] if "source" in specs.columns else []
     known = chats.select("slug", F.col("id").alias("known_id"))
     matched = materialise(specs.join(known, "slug", "left"), "chats")
     columns = ["slug", "device_id", "title", "subtitle", "is_group", "origin"]
@@ -47,14 +51,18 @@ def find_chats(specs: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame
         F.min(F.struct(*columns[1:])).alias("_c")).select("slug", "_c.*")
     fresh = number_rows(missing, F.col("slug"), "id", identity.next_id(chats))
     ids = matched.join(fresh.select("slug", F.col("id").alias("fresh_id")), "slug", "left").select(
-        "source_id", "slug", "device_id", F.coalesce("known_id", "fresh_id").alias("chat_id"))
+        *named, "source_id", "slug", "device_id", F.coalesce("known_id", "fresh_id").alias("chat_id"))
     return ids, fresh.select("id", *columns)
 
 
 def place(canonical: DataFrame, chat_ids: DataFrame) -> DataFrame:
-    """Canonical rows with the ids of their chat and device."""
-    ids = chat_ids.select(F.col("source_id").alias("chat_external_id"), "chat_id", "device_id")
-    return canonical.join(ids, "chat_external_id")
+    """Canonical rows with the ids of their chat and device.
+
+    Chats are matched by source and id where the specs name their source: ids repeat between devices.
+    """
+    keys = ["source", "chat_external_id"] if "source" in chat_ids.columns else ["chat_external_id"]
+    ids = chat_ids.withColumnRenamed("source_id", "chat_external_id").select(*keys, "chat_id", "device_id")
+    return canonical.join(ids, keys)
 
 
 def import_new(canonical: DataFrame, specs: DataFrame, archive: dict[str, DataFrame], by_handle: bool = False,

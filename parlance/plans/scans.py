@@ -32,7 +32,7 @@ def s_02(spark, d):
 
 @query("s_03_apple_attachments", "SELECT *, 'public.data' AS uti FROM apple_attachment")
 def s_03(spark, d):
-    return stores.apple_attachments(vendor.apple_store(spark, d))
+    return stores.apple_attachments(vendor.apple_store(spark, d)).drop(stores.STORE)
 
 
 @query("s_04_apple_chats", """
@@ -63,7 +63,7 @@ def s_06(spark, d):
 
 @query("s_07_whatsapp_media", "SELECT pk, media_pk, local_path, media_title, lat, lon FROM wa_media")
 def s_07(spark, d):
-    return stores.whatsapp_media(vendor.whatsapp_store(spark, d))
+    return stores.whatsapp_media(vendor.whatsapp_store(spark, d)).drop(stores.STORE)
 
 
 @query("s_08_export_source", "SELECT folder, ts, role AS sender, body FROM turn_row")

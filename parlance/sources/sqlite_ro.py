@@ -60,6 +60,14 @@ def files_of(options: dict) -> list[str]:
     return found
 
 
+def _exists(con: sqlite3.Connection, table: str) -> bool:
+    return con.execute("SELECT 1 FROM sqlite_master WHERE type IN ('table', 'view') AND name = ? COLLATE NOCASE", (table,)).fetchone() is not None
+
+
+def _has_rowid(con: sqlite3.Connection, table: str) -> bool:
+    return not any(r[0] for r in con.execute("SELECT wr FROM pragma_table_list WHERE name = ? COLLATE NOCASE AND schema = 'main'", (table,)))
+
+
 class SqliteSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -86,22 +94,34 @@ class _TableScan:
     """What the batch and the stream reader share: bounds, ranges and the scan of one range."""
 
     def __init__(self, options: dict, schema: T.StructType):
+        self.options = dict(options)
         self.files = files_of(options)
         self.table = options["table"]
         self.step = int(options.get("rows_per_partition", 200_000))
         self.columns = schema
 
     def bounds(self, file: str) -> tuple[int, int] | None:
-        """Lowest and highest row id, None for an empty or missing table."""
+        """Lowest and highest row id, None for an empty or absent table. Other failures, as of a locked file, are raised."""
         with connect(file) as con:
-            try:
-                low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
-            except sqlite3.OperationalError:
+            if not _exists(con, self.table):
                 return None
+            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
         return None if high is None else (low, high)
 
+    def keyed_only(self, file: str) -> bool:
+        """Whether the table exists but has no row ids (WITHOUT ROWID): it is read in one piece."""
+        with connect(file) as con:
+            return _exists(con, self.table) and not _has_rowid(con, self.table)
+
     def ranges(self, file: str, low: int, high: int) -> list[RowRange]:
-        return [RowRange(file, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
+        """Even steps where ids are dense; where they are sparse, the ids of every ``step``-th row."""
+        if (high - low) // self.step <= 1000:
+            return [RowRange(file, at, min(at + self.step - 1, high)) for at in range(low, high + 1, self.step)]
+        with connect(file) as con:
+            starts = [r[0] for r in con.execute(
+                f'SELECT id FROM (SELECT rowid AS id, row_number() OVER (ORDER BY rowid) AS k FROM "{self.table}" WHERE rowid BETWEEN ? AND ?) '
+                f"WHERE (k - 1) % ? = 0", (low, high, self.step))]
+        return [RowRange(file, a, b - 1) for a, b in zip(starts, [*starts[1:], high + 1])]
 
     def scan(self, part: RowRange) -> Iterator[pa.RecordBatch]:
         with connect(part.file) as con:
@@ -116,6 +136,8 @@ class _TableScan:
         present = {r[0].lower() for r in con.execute("SELECT name FROM pragma_table_info(?)", (self.table,))}
         wanted = [f.name for f in self.columns if f.name.lower() in present or f.name.lower() == "rowid"]
         listed = ", ".join(f'"{n}" AS "{n}"' for n in wanted) or "1"
+        if part.low is None:
+            return con.execute(f'SELECT {listed} FROM "{self.table}"')
         return con.execute(f'SELECT {listed} FROM "{self.table}" WHERE rowid BETWEEN ? AND ?',
                            (part.low, part.high))
 
@@ -167,6 +189,9 @@ class SqliteReader(_TableScan, DataSourceReader):
             return [RowRange(f) for f in self.files]
         parts: list[InputPartition] = []
         for file in self.files:
+            if self.keyed_only(file):
+                parts.append(RowRange(file))
+                continue
             span = self.bounds(file)
             parts += self.ranges(file, *span) if span else []
         return parts or [RowRange("")]
@@ -182,6 +207,8 @@ class SqliteStreamReader(_TableScan, DataSourceStreamReader):
         return {"rows": json.dumps({})}
 
     def latestOffset(self) -> dict:
+        """Stores that appear while the stream runs are followed from their first row."""
+        self.files = files_of(self.options)
         spans = {f: self.bounds(f) for f in self.files}
         return {"rows": json.dumps({f: s[1] for f, s in spans.items() if s}, sort_keys=True)}
 
