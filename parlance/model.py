@@ -44,6 +44,7 @@ ARCHIVE_DDL = {
                f"edits array<{EDIT}>, reactions array<{REACTION}>, apps array<string>, media_status string, sync_state string, "
                f"source string, external_id string",
     "source_ref": "message_id bigint, source string, external_id string",
+    "attachment": "message_id bigint, position int, source_ref string, mime string, filename string, is_sticker boolean, emoji_desc string",
     "media": "id bigint, message_id bigint, kind string, src string, cat string, portrait boolean, bytes bigint, content_hash string",
 }
 

@@ -94,18 +94,19 @@ def link_senders(rows: DataFrame, links: DataFrame, sender: str = "sender_raw")
 def settle_merges(pairs: DataFrame, persons: DataFrame) -> DataFrame:
     """Pairs (src_id, dst_id) of existing persons, chains followed to their end.
 
-    Every round halves the chains; the loop asks only whether any are left.
+    Pairs that name a person who does not exist are left out. Every round halves the chains, so after log2(pairs) rounds
+    only cycles are left.
     """
     known = persons.select(F.col("id").alias("src_id"))
     settled = pairs.filter(F.col("src_id") != F.col("dst_id")).join(known, "src_id", "left_semi")
-    settled = settled.groupBy("src_id").agg(F.min("dst_id").alias("dst_id"))
-    while True:
+    settled = settled.join(known.withColumnRenamed("src_id", "dst_id"), "dst_id", "left_semi")
+    settled = materialise(settled.groupBy("src_id").agg(F.min("dst_id").alias("dst_id")), "merges")
+    for _ in range(settled.count().bit_length() + 1):
         step = settled.select(F.col("src_id").alias("dst_id"), F.col("dst_id").alias("_next"))
         if settled.join(step, "dst_id", "left_semi").isEmpty():
             return settled
-        if not settled.join(step, "dst_id").filter(F.col("_next") == F.col("src_id")).isEmpty():
-            raise ValueError("merge pairs form a cycle")
-        settled = settled.join(step, "dst_id", "left").select("src_id", F.coalesce("_next", "dst_id").alias("dst_id")).checkpoint()
+        settled = materialise(settled.join(step, "dst_id", "left").select("src_id", F.coalesce("_next", "dst_id").alias("dst_id")), "merges")
+    raise ValueError("merge pairs form a cycle")
 
 
 def merge_persons(tables: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:

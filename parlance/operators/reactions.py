@@ -33,14 +33,14 @@ def tapback_events(messages: DataFrame) -> DataFrame:
     )
 
 
-def last_event(events: DataFrame, per_sender: bool = False) -> DataFrame:
+def last_event(events: DataFrame, per_sender: bool = False, keep_order: bool = False) -> DataFrame:
     """State of each (chat, target, type): its last event in (at, at_id) order.
 
     ``max_by`` combines partial results, so a target with any number of events stays cheap, and the
     outcome does not depend on the order rows arrive in.
     """
     keys = [*_scope(events), "target", "tapback"] + (["sender"] if per_sender else [])
-    carried = [c for c in ("added", "sender", "ts") if c not in keys]
+    carried = [c for c in ("added", "sender", "ts", *(("at", "at_id") if keep_order else ())) if c not in keys]
     last = F.max_by(F.struct(*carried), F.struct("at", "at_id"))
     return events.groupBy(*keys).agg(last.alias("_last")).select(
         *keys, *[F.col(f"_last.{c}").alias(c) for c in carried])

@@ -1,3 +1,4 @@
+import pytest
 from conftest import dicts
 
 from parlance.operators import identity, vcards
@@ -96,9 +97,19 @@ def test_owner_aliases():
 
 
 def test_vcard_fields(spark):
-    text = ("BEGIN:VCARD\nN:Doe;Jane;;Dr;\nFN:Jane\\, Doe\nORG:Acme\; Inc;;\nTEL;type=HOME:1\nTEL:2\nEMAIL:a@b\nNOTE:line\\none\n"
+    text = ("BEGIN:VCARD\nN:Doe;Jane;;Dr;\nFN:Jane\\, Doe\nORG:Acme\\; Inc;;\nTEL;type=HOME:1\nTEL:2\nEMAIL:a@b\nNOTE:line\\none\n"
             "URL:https://maps.apple.com/?ll=48.1,\n -11.5&q=x\nEND:VCARD")
     row = vcards.parse(spark.createDataFrame([(text,)], "text string")).first()
     assert (row.full_name, row.org, row.tel, row.email, row.lat, row.lng) == ("Jane, Doe", "Acme; Inc", ["1", "2"], ["a@b"], "48.1", "-11.5")
     row = vcards.parse(spark.createDataFrame([("N:Doe;Jane;;Dr;",)], "text string")).first()
     assert (row.full_name, row.tel, row.url, row.lat) == ("Dr Jane Doe", [], None, None)
+
+
+def test_cycles_of_any_length_raise(spark):
+    persons = spark.createDataFrame([(k, f"p{k}", None) for k in range(1, 9)], "id long, display_name string, avatar_src string")
+    for n in (2, 3, 5):
+        loop = spark.createDataFrame([(k, k % n + 1) for k in range(1, n + 1)], "src_id long, dst_id long")
+        with pytest.raises(ValueError, match="cycle"):
+            identity.settle_merges(loop, persons)
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 8)] + [(8, 99)], "src_id long, dst_id long")
+    assert {r.dst_id for r in identity.settle_merges(chain, persons).collect()} == {8}

@@ -1,3 +1,4 @@
+import pytest
 import json
 
 from conftest import dicts
@@ -71,3 +72,29 @@ def test_files_are_hashed(spark, folder):
     root = put(folder(), "a.bin", "content")
     (row,) = dicts(paths.scan_files(spark, root))
     assert row == {"path": f"{root}/a.bin", "bytes": 7, "digest": hashlib.sha256(b"content").hexdigest()[:16]}
+
+
+def test_only_absent_tables_are_empty(spark, sqlite_file):
+    import sqlite3
+
+    from parlance.sources import sqlite_ro
+
+    sqlite_ro.register(spark)
+    path = sqlite_file("CREATE TABLE k (name TEXT PRIMARY KEY, n INTEGER) WITHOUT ROWID; CREATE TABLE s (n INTEGER)",
+                       {"k": [("a", 1), ("b", 2)], "s": [(1,)]})
+    con = sqlite3.connect(path)
+    con.executemany("INSERT INTO s (rowid, n) VALUES (?, ?)", [(2 ** 62, 2), (2 ** 61, 3)])
+    con.commit()
+    con.close()
+
+    def read(table, ddl):
+        return spark.read.format("sqlite_ro").schema(ddl).option("path", path).option("table", table).load()
+
+    assert sorted(map(tuple, read("k", "name string, n bigint").collect())) == [("a", 1), ("b", 2)]
+    assert sorted(r.n for r in read("s", "n bigint").collect()) == [1, 2, 3]
+    assert read("absent", "n bigint").count() == 0
+    broken = path + ".txt"
+    with open(broken, "w") as f:
+        f.write("no database" * 200)
+    with pytest.raises(Exception, match="database"):
+        spark.read.format("sqlite_ro").schema("n bigint").option("path", broken).option("table", "s").load().count()

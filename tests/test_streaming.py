@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parlance.operators import reactions, sinks
 from parlance.session import new_folder
 from parlance.streaming import jobs
-from test_upkeep import canonical, empty_archive, row, specs
+from test_upkeep import FILE, canonical, empty_archive, row, specs
 
 
 def test_store_is_followed_by_row_id(spark, sqlite_file):
@@ -42,15 +42,17 @@ def test_reaction_stream_equals_batch_fold_in_any_order(spark):
     rng.shuffle(rows)
     events = spark.createDataFrame(rows, "chat_id long, target string, tapback int, added boolean, sender string, ts long, at long, at_id long")
     sink = new_folder(spark, "sink")
-    jobs.run_available(jobs.reaction_state(stream_of(spark, events, 5)), jobs.batch_folder(sink), new_folder(spark, "c"), "update")
-    state = jobs.newest_state(spark, sink, ["chat_id", "target", "tapback"])
+    jobs.run_available(stream_of(spark, events, 5), jobs.batch_fold(jobs.reaction_events, sink), new_folder(spark, "c"))
+    state = jobs.reaction_state(spark.read.parquet(sink).drop("batch_id"))
+    again = jobs.compacted(spark, sink, lambda df: reactions.last_event(df, keep_order=True))
+    assert jobs.reaction_state(spark.read.parquet(again).drop("batch_id")).exceptAll(state).isEmpty()
     keys = ["target", "tapback"]
     assert dicts(state.select(*sorted(state.columns)), *keys) == dicts(reactions.last_event(events).select(*sorted(state.columns)), *keys)
     assert spark.read.parquet(sink).select("batch_id").distinct().count() > 1
 
 
 def test_archive_stream_adds_each_row_once(spark):
-    root, names = new_folder(spark, "archive"), ["person", "person_alias", "handle", "device", "chat", "message", "source_ref", "chat_participant"]
+    root, names = new_folder(spark, "archive"), ["person", "person_alias", "handle", "device", "chat", "message", "source_ref", "chat_participant", "attachment"]
     sinks.write_archive(empty_archive(spark), root, 2)
     rows = canonical(spark, *[row(str(k), k, sender=f"p{k % 3}", chat=str(k % 2)) for k in range(40)])
     chats = specs(spark, "0", "1")
@@ -69,3 +71,53 @@ def test_deliveries_are_counted_once(spark):
     sink = new_folder(spark, "sink")
     jobs.run_available(jobs.once(stream_of(spark, rows.unionByName(rows).unionByName(rows), 3)), jobs.batch_folder(sink), new_folder(spark, "c"))
     assert spark.read.parquet(sink).count() == 50
+
+
+def test_late_first_deliveries_stay(spark):
+    rows = [("s", str(k), 1_700_000_000 - k * 10 * 86400) for k in range(6)]
+    df = spark.createDataFrame(rows, "source string, external_id string, ts long")
+    path, sink = new_folder(spark, "landed"), new_folder(spark, "sink")
+    for k in range(6):
+        df.filter(F.col("external_id") == str(k)).coalesce(1).write.mode("append").parquet(path)
+    jobs.run_available(jobs.once(jobs.follow_files(spark, path, df.schema, 1), "1 day"), jobs.batch_folder(sink), new_folder(spark, "c"))
+    assert spark.read.parquet(sink).count() == 6
+
+
+def test_late_messages_are_counted(spark):
+    rows = [(1, 1_700_000_000 - k * 10 * 86400, "none", "new") for k in range(4)] * 2
+    df = spark.createDataFrame(rows, "chat_id long, ts long, media_status string, sync_state string")
+    sink = new_folder(spark, "sink")
+    jobs.run_available(stream_of(spark, df, 4), jobs.batch_fold(jobs.day_counts, sink), new_folder(spark, "c"))
+    assert sorted(r.n for r in jobs.summed_day_counts(spark.read.parquet(sink).drop("batch_id")).collect()) == [2, 2, 2, 2]
+
+
+def test_a_batch_cut_off_after_any_write_is_completed(spark, monkeypatch):
+    names = ["person", "person_alias", "handle", "device", "chat", "message", "source_ref", "chat_participant", "attachment"]
+    rows = canonical(spark, *[row(str(k), k, sender=f"+49 {k % 3}", chat="0", attachments=[FILE] if k % 2 else []) for k in range(12)])
+    chats = specs(spark, "0")
+    append = sinks.append_rows
+    for cut in (1, 2, 5, 7):
+        root, notices = new_folder(spark, "archive"), new_folder(spark, "n")
+        sinks.write_archive(empty_archive(spark), root, 2)
+        writer = jobs.archive_upsert(root, lambda s: chats, names, notices, by_handle=True)
+        writer(canonical(spark, row("first", 0, sender="+49 0", chat="0")), 0)
+        done = []
+
+        def failing(df, root, table):
+            append(df, root, table)
+            done.append(table)
+            if len(done) == cut:
+                raise RuntimeError("lost")
+
+        monkeypatch.setattr(sinks, "append_rows", failing)
+        try:
+            writer(rows, 1)
+        except RuntimeError:
+            pass
+        monkeypatch.setattr(sinks, "append_rows", append)
+        writer(rows, 1)
+        writer(rows, 1)
+        stored = jobs.complete_rows(sinks.read_archive(spark, root, names))
+        counts = {n: stored[n].count() for n in ("message", "source_ref", "person", "handle", "chat", "attachment")}
+        assert counts == {"message": 13, "source_ref": 13, "person": 4, "handle": 3, "chat": 1, "attachment": 6}, (cut, counts)
+        assert spark.read.parquet(notices).agg(F.sum("new")).first()[0] == 12

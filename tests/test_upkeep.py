@@ -2,7 +2,7 @@ import pytest
 from conftest import dicts
 from pyspark.sql import functions as F
 
-from parlance.model import CANONICAL_DDL, EDIT, REACTION, schema
+from parlance.model import ARCHIVE_DDL, CANONICAL_DDL, EDIT, REACTION, schema
 from parlance.operators import sinks, upkeep
 
 MESSAGE = f"""id long, chat_id long, sender_person_id long, ts long, is_me boolean, text string, retracted boolean, edits array<{EDIT}>,
@@ -28,6 +28,7 @@ def empty_archive(spark):
         "chat": spark.createDataFrame([], "id long, slug string, device_id long, title string, subtitle string, is_group boolean, origin string"),
         "chat_participant": spark.createDataFrame([], "chat_id long, person_id long"),
         "message": spark.createDataFrame([], schema(MESSAGE)), "source_ref": spark.createDataFrame([], "message_id long, source string, external_id string"),
+        "attachment": spark.createDataFrame([], schema(ARCHIVE_DDL["attachment"])),
     }
 
 

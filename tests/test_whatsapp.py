@@ -91,3 +91,44 @@ def test_discovery_lists_busy_chats(spark, sqlite_file):
     rows = canonical.whatsapp_canonical(tables, "s", "Me")
     found = canonical.counts_by_chat(rows, stores.whatsapp_chats(tables, "wa"), min_messages=5).collect()
     assert [(r.title, r.total) for r in found] == [("Alice", 5), (UNSAVED, 5)]
+
+
+def test_two_stores_with_equal_row_ids_stay_apart(spark, folder):
+    import sqlite3
+
+    root = folder()
+    for name, who in (("one", "Alice"), ("two", "Berta")):
+        con = sqlite3.connect(f"{root}/{name}.sqlite")
+        con.executescript(DDL)
+        con.execute("INSERT INTO ZWACHATSESSION VALUES (1, 0, ?, ?)", (f"{who}@x", who))
+        con.executemany("INSERT INTO ZWAMESSAGE VALUES (?, NULL, ?, ?, ?, 0, 0, 1, NULL, 0)",
+                        [(k, BASE + k, f"{who} says {k}", f"{who}@x") for k in (1, 2)])
+        con.execute("INSERT INTO ZWAMEDIAITEM VALUES (7, 2, ?, NULL, NULL, NULL)", (f"{who}.jpg",))
+        con.commit()
+        con.close()
+    tables = stores.read_store(spark, f"{root}/*.sqlite", stores.WHATSAPP_SCHEMAS)
+    names = {f"{root}/one.sqlite": "whatsapp_live:one", f"{root}/two.sqlite": "whatsapp_live:two"}
+    rows = dicts(canonical.whatsapp_canonical(tables, names, "Me"), "source", "ts")
+    assert [(r["source"], r["sender_raw"], r["text"]) for r in rows] == [
+        (f"whatsapp_live:{d}", w, f"{w} says {k}") for d, w in (("one", "Alice"), ("two", "Berta")) for k in (1, 2)]
+    plain = canonical.whatsapp_canonical(tables, "whatsapp_live:phone", "Me")
+    assert plain.select("source", "external_id").distinct().count() == 4
+    chats = stores.whatsapp_chats(tables, {f"{root}/one.sqlite": "one", f"{root}/two.sqlite": "two"}, names)
+    assert chats.select("slug").distinct().count() == 2 and "source" in chats.columns
+
+    from parlance.operators import upkeep
+    from pyspark.sql import functions as F
+    from test_upkeep import empty_archive
+
+    archive = empty_archive(spark)
+    changes = upkeep.import_new(canonical.whatsapp_canonical(tables, names, "Me"), chats.withColumn("device_id", F.lit(5).cast("long")), archive)
+    stored = upkeep.apply_changes(archive, changes)["message"]
+    assert stored.count() == 4 and stored.select("chat_id").distinct().count() == 2
+
+
+def test_misfit_values_become_events(spark, sqlite_file):
+    bad = (900, "STANZA-900", BASE, b"\xff blob as text", ALICE, 0, 0, 1, None, 0)
+    tables = store(spark, sqlite_file, more=[bad])
+    events = dicts(canonical.misfit_events(tables, "whatsapp_live:mac", 1, 9), "detail")
+    assert [(e["source"], e["kind"], e["table_name"], e["observed"]) for e in events] == [
+        ("whatsapp_live:mac", "row_parse_failed", "ZWAMESSAGE", "ZTEXT:bytes")]
