@@ -11,14 +11,14 @@ from parlance.plans.registry import query
 
 MOMENT = 1705000000
 PAGE = """
-    SELECT id, chat_id, ts, is_me, {extra} FROM (
+    SELECT id, chat_id, ts, is_me, text, {extra} FROM (
         SELECT *, row_number() OVER (PARTITION BY chat_id ORDER BY ts {dir}, id {dir}) AS rn,
                count(*) OVER (PARTITION BY chat_id) AS n
         FROM visible_message WHERE {where}) WHERE rn <= {limit}"""
 
 
 def page_columns(df, *more):
-    return df.select("id", "chat_id", "ts", "is_me", *more)
+    return df.select("id", "chat_id", "ts", "is_me", "text", *more)
 
 
 @query("p_01_visible_filter", "SELECT id, chat_id, ts, media_status FROM visible_message")
@@ -135,24 +135,24 @@ def p_07(spark, d):
 
 @query("l_01_latest", PAGE.format(extra="n >= 50 AS has_more", dir="DESC", where="true", limit=50))
 def l_01(spark, d):
-    return page_columns(timeline.latest(given.message(spark, d)), "has_more")
+    return page_columns(timeline.latest(given.message(spark, d, text=True)), "has_more")
 
 
 @query("l_02_before", PAGE.format(extra="n >= 25 AS has_more", dir="DESC", where=f"ts < {MOMENT}", limit=25))
 def l_02(spark, d):
-    return page_columns(timeline.before(given.message(spark, d), MOMENT, 25), "has_more")
+    return page_columns(timeline.before(given.message(spark, d, text=True), MOMENT, 25), "has_more")
 
 
 @query("l_03_since", PAGE.format(extra="sync_state", dir="ASC", where=f"ts > {MOMENT}", limit=500))
 def l_03(spark, d):
-    return page_columns(timeline.since(given.message(spark, d), MOMENT), "sync_state")
+    return page_columns(timeline.since(given.message(spark, d, text=True), MOMENT), "sync_state")
 
 
 @query("l_04_around",
        PAGE.format(extra="true AS newer", dir="ASC", where=f"ts >= {MOMENT}", limit=80) + " UNION ALL "
        + PAGE.format(extra="false AS newer", dir="DESC", where=f"ts < {MOMENT}", limit=40))
 def l_04(spark, d):
-    return page_columns(timeline.around(given.message(spark, d), MOMENT), (F.col("ts") >= MOMENT).alias("newer"))
+    return page_columns(timeline.around(given.message(spark, d, text=True), MOMENT), (F.col("ts") >= MOMENT).alias("newer"))
 
 
 @query("l_05_media_timeline", """
@@ -174,13 +174,13 @@ def l_06(spark, d):
 
 
 @query("l_07_import_first", """
-    SELECT chat_external_id, external_id, ts FROM (
-        SELECT chat_id::varchar AS chat_external_id, id::varchar AS external_id, ts,
+    SELECT chat_external_id, external_id, ts, text FROM (
+        SELECT chat_id::varchar AS chat_external_id, id::varchar AS external_id, ts, text,
                row_number() OVER (PARTITION BY chat_id ORDER BY ts, id::varchar) AS rn FROM message) WHERE rn <= 20""")
 def l_07(spark, d):
-    rows = given.message(spark, d).select(
+    rows = given.message(spark, d, text=True).select(
         F.lit("given").alias("source"), F.col("chat_id").cast("string").alias("chat_external_id"),
-        F.col("id").cast("string").alias("external_id"), "ts")
+        F.col("id").cast("string").alias("external_id"), "ts", "text")
     return timeline.first_messages(rows, 20).drop("source")
 
 

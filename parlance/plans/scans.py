@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parlance.model import REACTION
 from parlance.operators import export_text, overview, reactions, sinks
 from parlance.plans import given, stage, vendor
 from parlance.plans.aggregates import OVERVIEW_SQL, overview_rows, reaction_events
@@ -218,19 +219,21 @@ def k_01(spark, d):
 
 
 @query("k_02_chat_json_export", f"""
-    SELECT c.slug, 'chat' AS t, NULL::bigint AS id, c.title AS what, v.total AS n FROM chat c JOIN ({OVERVIEW_SQL}) v ON v.chat_id = c.id
-    UNION ALL SELECT c.slug, 'msg', m.id, coalesce(p.display_name, '?'), m.ts FROM message m JOIN chat c ON c.id = m.chat_id
+    SELECT c.slug, 'chat' AS t, NULL::bigint AS id, c.title AS what, v.total AS n, NULL::varchar AS text, NULL::varchar AS reactions FROM chat c JOIN ({OVERVIEW_SQL}) v ON v.chat_id = c.id
+    UNION ALL SELECT c.slug, 'msg', m.id, coalesce(p.display_name, '?'), m.ts, m.text, CASE WHEN m.id % 40 = 0 THEN '❤️' ELSE '' END FROM message m JOIN chat c ON c.id = m.chat_id
         LEFT JOIN person p ON p.id = m.sender_person_id
-    UNION ALL SELECT c.slug, 'media', m.id, md.src, NULL FROM media md JOIN message m ON m.id = md.message_id JOIN chat c ON c.id = m.chat_id
+    UNION ALL SELECT c.slug, 'media', m.id, md.src, NULL, NULL, NULL FROM media md JOIN message m ON m.id = md.message_id JOIN chat c ON c.id = m.chat_id
         WHERE md.src IS NOT NULL""")
 def k_02(spark, d):
     root = new_folder(spark, "chats")
-    records = sinks.chat_records(overview_rows(spark, d), given.message(spark, d), given.media(spark, d), given.person(spark, d), given.chat(spark, d))
+    heart = F.array(F.struct(F.lit("❤️").alias("emoji"), F.lit("loved").alias("label"), F.lit("x").alias("sender"), F.lit(None).cast("bigint").alias("ts")))
+    messages = given.message(spark, d, text=True).withColumn("reactions", F.when(F.col("id") % 40 == 0, heart).otherwise(F.array()).cast(f"array<{REACTION}>"))
+    records = sinks.chat_records(overview_rows(spark, d), messages, given.media(spark, d), given.person(spark, d), given.chat(spark, d))
     sinks.write_by_chat(records, root)
     parsed = spark.read.text(root).select("slug", F.from_json(
-        "value", "t string, id bigint, message bigint, title string, sender string, src string, ts bigint, stats struct<total:bigint>").alias("r"))
+        "value", "t string, id bigint, message bigint, title string, sender string, src string, ts bigint, stats struct<total:bigint>, text string, reactions array<struct<emoji:string>>").alias("r"))
     return parsed.select("slug", "r.t", F.coalesce("r.id", "r.message").alias("id"), F.coalesce("r.title", "r.sender", "r.src").alias("what"),
-                         F.coalesce("r.stats.total", "r.ts").alias("n"))
+                         F.coalesce("r.stats.total", "r.ts").alias("n"), "r.text", F.array_join("r.reactions.emoji", "|").alias("reactions"))
 
 
 DIALOGUE_SQL = f"""
