@@ -12,24 +12,29 @@ from parlance.plans.registry import query
 def canonical(spark, d):
     """All messages as an incoming canonical batch; every 50th text differs from the stored one."""
     e = F.col("id")
-    rows = given.message(spark, d).join(given.chat(spark, d).select(F.col("id").alias("chat_id"), "device_id"), "chat_id")
-    return rows.select(
+    rows = given.message(spark, d, text=True).join(given.chat(spark, d).select(F.col("id").alias("chat_id"), "device_id"), "chat_id")
+    return rows.withColumn("body", F.coalesce("text", F.concat(F.lit("m"), e))).select(
         given.source_tag().alias("source"), F.col("chat_id").cast("string").alias("chat_external_id"),
         e.cast("string").alias("external_id"), "ts", F.concat(F.lit("s"), "sender_person_id").alias("sender_raw"), "is_me",
-        F.concat(F.lit("m"), e, F.when(e % 50 == 0, " altered").otherwise("")).alias("text"),
+        F.concat("body", F.when(e % 50 == 0, " altered").otherwise("")).alias("text"),
         "retracted", "edits", e.alias("event_id"))
 
 
+def before_edit():
+    """The text without the mark of every 50th row."""
+    return F.when(F.col("event_id") % 50 == 0, F.expr("left(text, length(text) - length(' altered'))")).otherwise(F.col("text"))
+
+
 def stored(spark, d):
     """The archive before that batch: eight messages in ten, with their old text."""
     rows = canonical(spark, d).filter(F.col("event_id") % 10 < 8)
-    return rows.withColumn("text", F.concat(F.lit("m"), "event_id")).withColumnRenamed("event_id", "id")
+    return rows.withColumn("text", before_edit()).withColumnRenamed("event_id", "id")
 
 
 CANONICAL_SQL = """
     SELECT CASE WHEN m.chat_id % 2 = 0 THEN 'imessage_live:dev' ELSE 'whatsapp_live:dev' END || c.device_id AS source,
            m.chat_id::varchar AS chat_external_id, m.id::varchar AS external_id, m.ts, m.id AS event_id,
-           m.is_me, 's' || m.sender_person_id AS sender_raw, m.retracted, m.chat_id, m.sender_person_id
+           coalesce(m.text, 'm' || m.id) AS body, m.is_me, 's' || m.sender_person_id AS sender_raw, m.retracted, m.chat_id, m.sender_person_id
     FROM message m JOIN chat c ON c.id = m.chat_id"""
 
 
@@ -88,7 +93,7 @@ def j_06(spark, d):
 
 
 @query("j_07_changed_rows", f"""
-    SELECT external_id, 'm' || event_id || ' altered' AS text FROM ({CANONICAL_SQL})
+    SELECT external_id, body || ' altered' AS text FROM ({CANONICAL_SQL})
     WHERE event_id % 10 < 8 AND event_id % 50 = 0""")
 def j_07(spark, d):
     return joins.changed(canonical(spark, d), stored(spark, d)).select("external_id", "text")

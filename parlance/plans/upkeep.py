@@ -8,7 +8,7 @@ from parlance.functions.text import contains_ci
 from parlance.model import ATTACHMENT, REACTION
 from parlance.operators import overview, upkeep
 from parlance.plans import given
-from parlance.plans.joins import CANONICAL_SQL, canonical, chosen_chats
+from parlance.plans.joins import before_edit, CANONICAL_SQL, canonical, chosen_chats
 from parlance.plans.registry import query
 
 
@@ -37,7 +37,7 @@ def archive(spark, d, keep=None):
     rows = rows.join(chats.select(F.col("id").cast("string").alias("chat_external_id"), F.col("id").alias("chat_id")), "chat_external_id")
     messages = rows.select(
         F.col("event_id").alias("id"), "chat_id", F.lit(None).cast("bigint").alias("sender_person_id"), "ts", "is_me",
-        F.concat(F.lit("m"), "event_id").alias("text"), "retracted", "edits", F.array().cast(f"array<{REACTION}>").alias("reactions"),
+        before_edit().alias("text"), "retracted", "edits", F.array().cast(f"array<{REACTION}>").alias("reactions"),
         F.array().cast("array<string>").alias("apps"), F.lit("none").alias("media_status"), F.lit("published").alias("sync_state"),
         "source", "external_id")
     return {
@@ -99,7 +99,7 @@ def i_06c(spark, d):
 
 
 @query("i_07_sync_updates", f"""
-    SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN 'm' || event_id || ' altered' ELSE 'm' || event_id END AS text,
+    SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN body || ' altered' ELSE body END AS text,
            CASE WHEN event_id % 50 = 0 THEN 'new' ELSE 'published' END AS sync_state,
            CASE WHEN event_id % 40 = 0 THEN '❤️' ELSE '' END AS reactions
     FROM ({STORED_SQL}) WHERE event_id % 50 = 0 OR event_id % 40 = 0""")
