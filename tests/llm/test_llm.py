@@ -259,11 +259,11 @@ def test_near_classes_against_all_pairs(spark):
             rows.append((len(rows), " ".join(w).upper() if copy == 8 else " ".join(w), "a"))
     docs = docs_of(spark, rows)
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
-    texts = docs.select(near_dedup.normal_form().alias("norm"))
+    texts = docs.select("text")
     idf = near_dedup.inverse_frequencies(near_dedup.document_frequencies(texts), len(rows))
     vectors = []
     for r in rows:
-        _, value, times = near_dedup.shingles([r[1].lower()], near_dedup.WordHashes())
+        _, value, times = near_dedup.shingles([near_dedup.words_of(r[1])], near_dedup.WordHashes())
         vectors.append(dict(zip(value.tolist(), (times * idf[near_dedup.slot(value)]).tolist())))
     label = list(range(len(rows)))
     for a, b in itertools.combinations(range(len(rows)), 2):
