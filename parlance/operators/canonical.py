@@ -155,11 +155,11 @@ def misfit_events(store: dict[str, DataFrame], source: str | Column | dict[str,
     return events.withColumn("table_name", F.substring_index("detail", " ", -1))
 
 
-def enum_events(store: dict[str, DataFrame], source: str, version: int, enums: dict, seen_at: int) -> DataFrame:
+def enum_events(store: dict[str, DataFrame], source: str | Column | dict[str, str], version: int, enums: dict, seen_at: int) -> DataFrame:
     """Unknown values of every enumerated column of a store."""
     out = None
     for (table, column), allowed in enums.items():
-        found = drift.unknown_values(store[table], source, version, table, column, allowed, seen_at)
+        found = drift.unknown_values(stores.keyed(store[table]), stores.per_store(source), version, table, column, allowed, seen_at)
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -68,7 +68,7 @@ def probe(contract: DataFrame, observed: DataFrame, seen_at: int) -> DataFrame:
 
 
 def _event(rows: DataFrame, severity: str, kind: str, column: Column | None, observed: Column | None,
-           expected: Column | None, detail: Column, seen_at: int | Column) -> DataFrame:
+           expected: Column | None, detail: Column, seen_at: int | Column, *more: str) -> DataFrame:
     def text(c: Column | None) -> Column:
         return F.lit(None).cast("string") if c is None else c.cast("string")
 
@@ -76,24 +76,24 @@ def _event(rows: DataFrame, severity: str, kind: str, column: Column | None, obs
         "source", F.col("schema_version").cast("int").alias("schema_version"), F.lit(severity).alias("severity"),
         F.lit(kind).alias("kind"), "table_name", text(column).alias("column_name"), text(observed).alias("observed"),
         text(expected).alias("expected"), detail.alias("detail"),
-        (F.lit(seen_at) if isinstance(seen_at, int) else seen_at).cast("bigint").alias("seen_at"))
+        (F.lit(seen_at) if isinstance(seen_at, int) else seen_at).cast("bigint").alias("seen_at"), *more)
 
 
-def unknown_values(df: DataFrame, source: str, version: int, table: str, column: str, allowed: list[int],
+def unknown_values(df: DataFrame, source: str | Column, version: int, table: str, column: str, allowed: list[int],
                    seen_at: int, ignore_zero: bool = False) -> DataFrame:
     """One event per value outside an allow-list, with the number of rows as ``occurrences``."""
     value = F.col(column)
-    counts = df.filter(value.isNotNull()).groupBy(value.alias("_value")).agg(F.count(F.lit(1)).alias("occurrences"))
+    named = (F.lit(source) if isinstance(source, str) else source).alias("source")
+    counts = df.filter(value.isNotNull()).groupBy(named, value.alias("_value")).agg(F.count(F.lit(1)).alias("occurrences"))
     strange = counts.filter(~F.col("_value").isin(allowed))
     if ignore_zero:
         strange = strange.filter(F.col("_value") != 0)
-    rows = strange.select(F.lit(source).alias("source"), F.lit(version).alias("schema_version"),
+    rows = strange.select("source", F.lit(version).alias("schema_version"),
                           F.lit(table).alias("table_name"), "_value", "occurrences")
     expected = "one of [" + ", ".join(str(v) for v in sorted(allowed)) + "]"
-    events = _event(
+    return _event(
         rows.withColumn("_value", F.col("_value").cast("string")), "warn", "unknown_enum_value", F.lit(column),
-        F.col("_value"), F.lit(expected), F.concat(F.lit(f"unknown {table}.{column} value "), "_value"), seen_at)
-    return events.join(rows.select(F.col("_value").cast("string").alias("observed"), "occurrences"), "observed")
+        F.col("_value"), F.lit(expected), F.concat(F.lit(f"unknown {table}.{column} value "), "_value"), seen_at, "occurrences")
 
 
 def parse_failures(rows: DataFrame, version: int, table: str, error: Column, detail: Column,

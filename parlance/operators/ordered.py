@@ -68,7 +68,8 @@ def number_rows(df: DataFrame, key: Column, name: str, start: Column | int = 0,
     """Add consecutive numbers ``start + 1 ...`` over distinct keys, the same for any partitioning.
 
     The order is ``before`` (a coarse value such as a day) and then the key's MD5. Rows are counted per
-    (before, first hash digits); only those counts pass through one task.
+    (before, first hash digits). Counts are added up within each ``before``; only one total per ``before``
+    passes through one task.
     """
     marked = (
         df.withColumn("_before", F.lit(0) if before is None else before)
@@ -76,9 +77,12 @@ def number_rows(df: DataFrame, key: Column, name: str, start: Column | int = 0,
         .withColumn("_bucket", F.substring("_md5", 1, 3))
     )
     counts = marked.groupBy("_before", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    along = Window.orderBy("_before", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_before", "_bucket",
-                            F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_offset"))
+    totals = counts.groupBy("_before").agg(F.sum("_n").alias("_n"))
+    days = Window.orderBy("_before").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_before", F.coalesce(F.sum("_n").over(days), F.lit(0)).alias("_start"))
+    along = Window.partitionBy("_before").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.select("_before", "_bucket", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_within"))
+    offsets = within.join(starts, "_before").select("_before", "_bucket", (F.col("_start") + F.col("_within")).alias("_offset"))
     inside = Window.partitionBy("_before", "_bucket").orderBy("_md5")
     base = F.lit(start) if isinstance(start, int) else start
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import media as media_rules
-from parlance.operators import identity, joins
+from parlance.operators import drift, identity, joins
 from parlance.operators.ordered import number_rows
 from parlance.session import materialise
 
@@ -76,6 +76,16 @@ def import_new(canonical: DataFrame, specs: DataFrame, archive: dict[str, DataFr
     return add_rows(materialise(unseen, "unseen"), specs, archive, by_handle, incremental_state, media_ready)
 
 
+def import_gated(canonical: DataFrame, events: DataFrame, specs: DataFrame, archive: dict[str, DataFrame], **options) -> Changes:
+    """An import behind the drift checks: all events are stored, and sources with a fatal one add nothing else.
+
+    ``events`` are those of the probes, the enumerated columns, misfit values and parse failures of the same run.
+    """
+    changes = import_new(drift.gate(canonical, events), specs, archive, **options)
+    changes.added["drift_event"] = drift.upsert(archive.get("drift_event"), events)
+    return changes
+
+
 def add_rows(unseen: DataFrame, specs: DataFrame, archive: dict[str, DataFrame], by_handle: bool,
              incremental_state: bool, media_ready: bool) -> Changes:
     """Changes that add canonical rows known to be new; ``unseen`` is read several times."""

@@ -98,6 +98,37 @@ def i_06c(spark, d):
     return upkeep.import_stats(rows, after["source_ref"])
 
 
+DEVICE_OF_SOURCE_SQL = "CAST(regexp_extract(source, '[0-9]+$') AS INTEGER)"
+
+
+@query("i_06d_gated_import", f"""
+    SELECT source, count(*) AS n, 0::bigint AS fatal FROM ({INCOMING_SQL}) WHERE {DEVICE_OF_SOURCE_SQL} % 5 <> 3 GROUP BY 1
+    UNION ALL SELECT DISTINCT source, 0, 1 FROM ({CANONICAL_SQL}) WHERE {DEVICE_OF_SOURCE_SQL} % 5 = 3""")
+def i_06d(spark, d):
+    """Every fifth device has a fatal event: its events are stored, its messages are not."""
+    rows = incoming(spark, d)
+    device = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
+    none = F.lit(None).cast("string")
+    events = rows.filter(device % 5 == 3).select("source").distinct().select(
+        "source", F.lit(1).alias("schema_version"), F.lit("fatal").alias("severity"), F.lit("missing_table").alias("kind"),
+        F.lit("message").alias("table_name"), none.alias("column_name"), none.alias("observed"), none.alias("expected"),
+        F.lit("table message is missing").alias("detail"), F.lit(1705000000).cast("bigint").alias("seen_at"))
+    changes = upkeep.import_gated(rows, events, specs(spark, d), archive(spark, d), incremental_state=True)
+    stored = changes.added["message"].groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("fatal", F.lit(0).cast("bigint"))
+    seen = changes.added["drift_event"].filter("severity = 'fatal'").select(
+        "source", F.lit(0).cast("bigint").alias("n"), F.col("occurrence_count").cast("bigint").alias("fatal"))
+    return stored.unionByName(seen)
+
+
+@query("i_06e_attachments", f"""
+    SELECT source, external_id, 'p' || event_id AS source_ref, 'image/png' AS mime FROM ({INCOMING_SQL}) WHERE event_id % 6 = 0""")
+def i_06e(spark, d):
+    """Attachments of imported messages wait in a table of their own for their files."""
+    added = upkeep.import_new(incoming(spark, d), specs(spark, d), archive(spark, d), media_ready=False).added
+    owners = added["message"].filter("media_status = 'pending'").select(F.col("id").alias("message_id"), "source", "external_id")
+    return added["attachment"].join(owners, "message_id").select("source", "external_id", "source_ref", "mime")
+
+
 @query("i_07_sync_updates", f"""
     SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN body || ' altered' ELSE body END AS text,
            CASE WHEN event_id % 50 = 0 THEN 'new' ELSE 'published' END AS sync_state,
