@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -14,7 +15,7 @@ SPACE = "\\x20\\x09-\\x0D"
 WORDS = re.compile(f"[^{SPACE}]+")
 CHUNK_CHARS = 4_000_000
 
-__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks",
+__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks", "chunk_count",
            "labelled_sample"]
 
 
@@ -35,6 +36,12 @@ def held_out(modulus: int, remainder: int, key: str = "doc_id") -> Column:
     return key_hash(key) % modulus == remainder
 
 
+def chunk_count(rows: int, least: int = 500) -> int:
+    """Chunks for an ordered pass over a group that may hold all rows: as many as each has rows, so neither grows with the input
+    faster than its root."""
+    return max(1, rows // max(least, math.isqrt(rows)))
+
+
 def text_chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Cut a batch of texts into runs (start, end) of about ``limit`` characters, so that long texts bound the memory."""
     start = size = end = 0

@@ -18,13 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from parlance.llm.common import SPACE, materialise
+from parlance.llm.common import SPACE, chunk_count, materialise
 from parlance.operators.ordered import running_total
 
 CYCLE = (3, 1, 2)
 SHARE_NUMERATOR, SHARE_DENOMINATOR = 3, 2
 MOST_REPEATS = 2
-ROWS_PER_CHUNK = 20_000
 # (training time, multiple of the source's weight) at the corners, by weight class: fading, even and growing sources.
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.25), (0.5, 1.0), (1.0, 1.75)))
 
@@ -124,7 +123,7 @@ def curriculum(docs: DataFrame, cycle=CYCLE, schedules=SCHEDULES, payload: Colum
     rows = rows.join(targets.select(F.col("_source").alias("_name"), "_rank", "_words", "_target"),
                      F.col("_source").eqNullSafe(F.col("_name"))).drop("_name")
     # The order within a source is that of the hashed id; chunks are ranges of the hash.
-    chunks = max(1, n // ROWS_PER_CHUNK)
+    chunks = chunk_count(n)
     hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.withColumn("_hash", hashed)
     chunk = F.floor(F.conv(F.substring("_hash", 1, 7), 16, 10).cast("long") * chunks / F.lit(1 << 28))

@@ -18,13 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialise, whole_text
+from parlance.llm.common import chunk_count, materialise, whole_text
 from parlance.llm.tokens import RANKS, VOCABULARY, encoder
 from parlance.operators.ordered import running_total
 
 CAPACITY = 1024
 END_ID = 2
-ROWS_PER_CHUNK = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,7 +111,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabu
     """Pieces with ``sequence_id`` and ``offset``: sequences are filled from 0 without gaps."""
     cut = materialise(pieces(docs, capacity, end_id, vocabulary, ranks), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chunks = max(1, sum(counts.values()) // ROWS_PER_CHUNK)
+    chunks = chunk_count(sum(counts.values()))
     numbered = running_total(cut, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)),
                              ["doc_id", "piece"], F.lit(1), "_nth")
     places = docs.sparkSession.sparkContext.broadcast(slots(packing_plan(counts, capacity)))

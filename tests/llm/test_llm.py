@@ -216,6 +216,17 @@ def test_tail_words_meet_their_counts(spark, monkeypatch):
         assert (r["n_known"], pytest.approx(r["base_score"])) == want[r["doc_id"]]
 
 
+def test_head_is_the_commonest_words(spark):
+    counts = [(f"w{k}".encode(), n) for k, n in enumerate([5000, 4999, 4100, 2047, 2047, 64, 64, 9, 2, 1, 1, 1])]
+    df = spark.createDataFrame(counts, "word binary, n long")
+    for limit in range(14):
+        head = brown.head_words(df, limit)
+        assert head == sorted(counts, key=lambda x: (-x[1], x[0]))[:len(head)] and len(head) <= limit
+        # All words of one count belong or none does.
+        assert {n for _, n in head}.isdisjoint({n for _, n in counts[len(head):]})
+    assert len(brown.head_words(df, 12)) == 12 and len(brown.head_words(df, 5)) == 5
+
+
 def test_exchange_never_lowers_the_likelihood():
     rng = np.random.default_rng(1)
     pairs = rng.poisson(np.outer(rng.gamma(1, 1, 30), rng.gamma(1, 1, 30)) * 3).astype(float)
@@ -247,7 +258,11 @@ def test_exact_groups_survive_colliding_digests(spark):
 
 # 7 near dedup
 
-def test_near_classes_against_all_pairs(spark):
+@pytest.mark.parametrize("block,agreeing", [(near_dedup.BLOCK_NODES, near_dedup.AGREEING), (4, near_dedup.SAMPLES + 1)])
+def test_near_classes_against_all_pairs(spark, monkeypatch, block, agreeing):
+    """By leaders first, and, with no leader good enough, by small blocks alone."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", block)
+    monkeypatch.setattr(near_dedup, "AGREEING", agreeing)
     rng = random.Random(8)
     base = [[f"t{rng.randrange(5000)}" for _ in range(rng.choice([30, 120, 400]))] for _ in range(12)]
     rows = []
