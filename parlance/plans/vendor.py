@@ -172,7 +172,7 @@ def export_lines(rows: DataFrame, formats: int = 4, strange: bool = False) -> Da
     return rows.select(
         F.concat(F.lit("conv"), "conv_id").alias("folder"), "turn",
         F.posexplode(F.split(F.concat(head, text), "\n")).alias("k", "line")
-    ).select("folder", (F.col("turn") * 100000 + F.col("k")).alias("pos"), "line")
+    ).select("folder", (F.shiftleft(F.col("turn").cast("bigint"), 32) + F.col("k")).alias("pos"), "line")
 
 
 def version_pairs(spark: SparkSession, d: str) -> DataFrame:
