@@ -18,7 +18,7 @@ import public_tokenizers
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 END_OF_TEXT = "<|endoftext|>"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 
 # Letters, numbers and white space below U+0250.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"

@@ -16,9 +16,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +30,10 @@ WORDS, WORD_DIM = 4096, 12
 CHARS, CHAR_DIM, CHAR_OUT = 8, 6, 16
 HIDDEN, ATTENTION = 8, 8
 PER_CLASS = 1500
-ROUNDS, BATCH, RATE = 9, 256, 0.01
+ROUNDS, STEPS, BATCH, RATE = 9, 24, 256, 0.01
 THRESHOLD = 0.5
-CACHED_WORDS = 250_000
+CACHED_WORDS = 100_000
+ROWS_AT_ONCE = 256
 CLOSED = 30.0
 
 Weights = dict[str, np.ndarray]
@@ -106,10 +107,10 @@ def halves(inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(inputs[:, :3 * HIDDEN]), np.ascontiguousarray(inputs[:, 3 * HIDDEN:])
 
 
-def run_windows(w: Weights, inputs: np.ndarray | tuple, ids: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-    """Logits of windows: ``ids`` (time, rows) point into ``inputs``, whose last row stands for padding."""
+def run_windows(w: Weights, inputs: np.ndarray | tuple, ids: np.ndarray, keep: bool = False, pad: int | None = None) -> tuple[np.ndarray, tuple]:
+    """Logits of windows: ``ids`` (time, rows) point into ``inputs``, whose row ``pad``, else the last, is padding."""
     ahead, behind = inputs if isinstance(inputs, tuple) else halves(inputs)
-    pad = len(ahead) - 1
+    pad = len(ahead) - 1 if pad is None else pad
     fwd, fwd_kept = passes(ahead, ids, w["fwd"], keep)
     bwd, bwd_kept = passes(behind, ids[::-1], w["bwd"], keep)
     states = np.concatenate([fwd, bwd[::-1]], 2)
@@ -201,7 +202,8 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
         rank = np.arange(len(owner)) - np.repeat(cuts, np.diff(np.append(cuts, len(owner))))
         chosen = best[rank < np.where(label[owner] > 0, 1 if turn >= 2 else 3, 3)]
         chosen = np.union1d(chosen, rng.choice(np.flatnonzero(label[owner] == 0), min(len(chosen) // 4, int((label[owner] == 0).sum())), False))
-        rng.shuffle(chosen)
+        # Few examples are passed over several times, so that each round takes a fair number of steps.
+        chosen = np.concatenate([rng.permutation(chosen) for _ in range(-(-STEPS // -(-len(chosen) // BATCH)))])
         for a in range(0, len(chosen), BATCH):
             part = ids[:, chosen[a:a + BATCH]]
             used, local = np.unique(part, return_inverse=True)
@@ -219,48 +221,49 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
 
 
 class Reader:
-    """Scores texts; keeps the first layer's result of the words it has met."""
+    """Scores texts; keeps the first layer's result of the words it has met. Row 0 stands for padding."""
 
     def __init__(self, model: tuple[Weights, dict[str, int]]):
         self.weights, self.vocabulary = model
         self.rows: dict[str, int] = {}
-        self.inputs = np.zeros((1024, 6 * HIDDEN), np.float32)
+        self.ahead, self.behind = halves(padded(np.zeros((0, 6 * HIDDEN), np.float32)))
 
     def _learn(self, lines: list[list[str]]) -> None:
         if len(self.rows) > CACHED_WORDS:
             self.rows = {}
-        rows = self.rows
-        fresh = list({word for line in lines for word in line} - rows.keys())
+        fresh = list({word for line in lines for word in line} - self.rows.keys())
         if not fresh:
             return
         known = np.array([self.vocabulary.get(word, 0) for word in fresh])
-        made, _ = first_layer(self.weights, known, spell(fresh))
-        start = len(rows)
-        if start + len(fresh) > len(self.inputs):
-            self.inputs = np.concatenate([self.inputs[:start], np.zeros((start + 2 * len(fresh), 6 * HIDDEN), np.float32)])
-        self.inputs[start:start + len(fresh)] = made
-        rows.update(zip(fresh, range(start, start + len(fresh))))
+        made = first_layer(self.weights, known, spell(fresh))[0].astype(np.float32)
+        start, end = len(self.rows) + 1, len(self.rows) + 1 + len(fresh)
+        if end > len(self.ahead):
+            room = np.zeros((end + end // 4 - start, 3 * HIDDEN), np.float32)
+            self.ahead, self.behind = (np.concatenate([part[:start], room]) for part in (self.ahead, self.behind))
+        self.ahead[start:end], self.behind[start:end] = halves(made)
+        self.rows.update(zip(fresh, range(start, end)))
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
         lines = [text.lower().split() for text in texts]
         self._learn(lines)
-        rows = self.rows
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        inputs = halves(padded(self.inputs[:len(rows)]))
-        flat = np.fromiter((rows[word] for line in lines for word in line), np.int32, int(sizes.sum()))
-        flat = np.append(flat, np.int32(len(rows)))
+        flat = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lines)), np.int32, int(sizes.sum()))
+        flat = np.append(flat, np.int32(0))
         place, owner = windows(sizes, len(flat) - 1)
         worst = np.zeros(len(texts))
         for a in range(0, len(owner), 4096):
-            logit, _ = run_windows(self.weights, inputs, flat[place[:, a:a + 4096]])
+            logit, _ = run_windows(self.weights, (self.ahead, self.behind), flat[place[:, a:a + 4096]], pad=0)
             np.maximum.at(worst, owner[a:a + 4096], sigmoid(logit.astype(float)))
         return worst
 
 
-def scores(texts: Sequence[str], reader: Reader | None) -> np.ndarray:
-    if reader is None or not len(texts):
-        return np.zeros(len(texts))
-    return np.concatenate([reader(texts[a:b]) for a, b in text_chunks(texts, 2_000_000)])
+def scores(batch: pa.RecordBatch, reader: Reader | None) -> np.ndarray:
+    """Scores of a batch's texts, read a few rows at a time to bound the memory of a worker."""
+    out = [np.zeros(0)]
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        texts = [text or "" for text in batch.column("text").slice(at, ROWS_AT_ONCE).to_pylist()]
+        out += [reader(texts[a:b]) if reader else np.zeros(b - a) for a, b in text_chunks(texts, 1_000_000)]
+    return np.concatenate(out)
 
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
@@ -275,7 +278,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.value) if model.value else None
         for batch in batches:
-            found = scores(batch.column("text").to_pylist(), reader)
+            found = scores(batch, reader)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.float64())],
                                              ["doc_id", "held_out", "score"])
 
@@ -288,10 +291,9 @@ def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
     """The rows of ``docs`` whose text scores below ``threshold``, with their own columns."""
     model = trained(docs, labels, per_class)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.value) if model.value else None
         for batch in batches:
-            yield pd.Series(scores(batch.tolist(), reader))
+            yield batch.filter(pa.array(scores(batch, reader) < threshold))
 
-    return docs.filter(score(whole_text()) < threshold)
+    return docs.mapInArrow(keep, docs.schema)
