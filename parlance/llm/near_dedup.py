@@ -40,10 +40,11 @@ SAMPLES, ROWS_PER_BAND = 64, 4
 SLOT_BITS, BLOCK_BITS = 20, 14
 POOL_BITS = 12
 BLOCK = 1024
-BLOCK_NODES, BLOCK_CHARS, COLUMNS = 1024, 6_000_000, 2048
+BLOCK_NODES, BLOCK_CHARS, COLUMNS = 512, 1_500_000, 1024
+ROWS_AT_ONCE, CHARS_AT_ONCE = 512, 1_000_000
 AGREEING = 36
-CACHED_WORDS = 500_000
-CACHED_VECTORS = 32
+CACHED_WORDS = 150_000
+CACHED_VECTORS = 8
 
 HASH_BITS = 42
 
@@ -106,9 +107,8 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(1 << SLOT_BITS, np.int64), WordHashes()
         for batch in batches:
-            whole = batch.column("text").to_pylist()
-            for a, b in text_chunks(whole):
-                total += np.bincount(slot(shingles(list(map(words_of, whole[a:b])), hashes)[1]), minlength=len(total))
+            for _, texts in text_runs(batch):
+                total += np.bincount(slot(shingles(list(map(words_of, texts)), hashes)[1]), minlength=len(total))
         blocks = total.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(1)).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())],
@@ -187,15 +187,22 @@ def bands(marks: np.ndarray) -> np.ndarray:
     return mixed(key + np.arange(parts.shape[1], dtype=np.uint64) * _ODD[3]).view(np.int64)
 
 
+def text_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    """Runs of a batch's texts and where they start, short enough to bound the memory of a worker."""
+    for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+        texts = batch.column("text").slice(at, ROWS_AT_ONCE).to_pylist()
+        for a, b in text_chunks(texts, CHARS_AT_ONCE):
+            yield at + a, texts[a:b]
+
+
 def signed(texts: DataFrame, idf) -> DataFrame:
     """node, id, raw, bands and marks per row; rows without shingles have empty arrays."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, pool, weights = WordHashes(), pools(), idf.value
         for batch in batches:
-            whole = batch.column("text").to_pylist()
-            for a, b in text_chunks(whole):
-                lines = list(map(words_of, whole[a:b]))
+            for a, texts in text_runs(batch):
+                b, lines = a + len(texts), list(map(words_of, texts))
                 owner, value, times = shingles(lines, hashes)
                 marks = signatures(owner, value, times * weights[slot(value)], b - a, pool)
                 keys, filled = bands(marks), np.bincount(owner, minlength=b - a) > 0
