@@ -1,9 +1,12 @@
 """Personal data by base expressions and bootstrapped contextual extraction.
 
 Base expressions find emails, addresses, cards and phones. Their finds are seeds: the words around them are lexical
-patterns, and every other token with a digit or an at sign is a candidate. Spark scores the graph of patterns and
+patterns, and every other token with a digit or an at sign is a candidate, and so is every longest run of number-like
+tokens with nothing but blanks between them that has no more digits than a card. In a context any word with a digit or an
+at sign is the same placeholder, and what lies before a text is a boundary mark. Spark scores the graph of patterns and
 instances in rounds: a pattern is as sure of a kind as its distinct instances are, an instance as sure as the patterns
-that name it together. Candidates above ``SURE`` become spans of that kind, beside the base spans, which all stay.
+that name it together. Scores only grow, up to a bound; the rounds end when no score grew by more than ``TOLERANCE``.
+Candidates above ``SURE`` become spans of that kind, beside the base spans, which all stay; of nested ones the longest.
 
 A pattern counts once ``SUPPORT`` distinct instances have met in it, so that a passage copied into many documents says no
 more than once. Null texts count as empty and have no spans. Repeated rows are found apart; an empty table gives no rows.
@@ -18,14 +21,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parlance.llm.common import WORDS, materialise, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+TOLERANCE = 1e-4
 SUPPORT = 4
 SURE = 0.8
 LEAST = 0.1
+# Kinds whose base forms may hold blanks.
+BLANKS = (2, 3)
+CARD_DIGITS = 19
 
 # Base expressions as the contract gives them; the domain part and the digit guard below keep their scans linear.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -36,6 +43,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _MARK = re.compile("[0-9@]")
 _TRIM = "\"'()[]{}<>,;:!?."
+_PART = re.compile("[0-9+()./-]+")
+# No word holds a tab.
+_NUMBER, _EDGE = "\t#", "\t^"
 
 Span = tuple[int, int, int]
 
@@ -90,17 +100,48 @@ def _fits(kind: int, value: str) -> bool:
     return (("@" in value), (digits >= 3 and value.count(".") + value.count(":") >= 2), digits >= 8, 6 <= digits <= 15)[kind]
 
 
+def runs(text: str, words: list[tuple[int, int]], free: list[bool]) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, first word, word after) of the longest runs of at least two number-like words between blanks.
+
+    ``free`` tells the words that no base span touches. Signs may stand alone inside a run; other marks at the edge of a
+    word end it there.
+    """
+    k = 0
+    while k < len(words):
+        first, numbers, begin, end, after = k, 0, 0, 0, k
+        while k < len(words) and free[k]:
+            a, b = words[k]
+            word = text[a:b]
+            core = word.strip(_TRIM) or word
+            left = word.index(core)
+            has_digit = bool(_DIGIT.search(core))
+            if not _PART.fullmatch(core) or not (numbers or has_digit):
+                break
+            if numbers and (word[:left].strip("(") or text[words[k - 1][1]:a].strip(" ")):
+                break
+            if has_digit:
+                begin = begin if numbers else a + left
+                numbers, end, after = numbers + 1, a + left + len(core), k + 1
+            k += 1
+            if word[left + len(core):].strip(")"):
+                break
+        if numbers > 1:
+            yield begin, end, first, after
+        k = max(k, first + 1)
+
+
 def occurrences(text: str, spans: list[Span]) -> list[dict]:
     """Seeds and candidates with the patterns around them: the two words before, and the words on both sides."""
     if not _MARK.search(text):
         return []
     words = [(m.start(), m.end()) for m in WORDS.finditer(text)]
     starts = [(a, b, kind) for a, kind, b in spans]
-    marked, covered = [], 0
+    marked, covered, free = [], 0, [True] * len(words)
     for k, (a, b) in enumerate(words):
         while covered < len(starts) and starts[covered][1] <= a:
             covered += 1
         if covered < len(starts) and starts[covered][0] < b:
+            free[k] = False
             if starts[covered][0] >= a:
                 s, e, kind = starts[covered]
                 after = k
@@ -114,14 +155,23 @@ def occurrences(text: str, spans: list[Span]) -> list[dict]:
             core = value.strip(_TRIM)
             if core and any(_fits(kind, core) for kind in range(len(KINDS))):
                 marked.append((a + left, a + left + len(core), None, k, k + 1))
+    for s, e, first, after in runs(text, words, free):
+        if sum(c.isdigit() for c in text[s:e]) <= CARD_DIGITS and any(_fits(kind, text[s:e]) for kind in BLANKS):
+            marked.append((s, e, None, first, after))
+
+    def around(k: int) -> str:
+        if k < 0:
+            return _EDGE
+        word = text[slice(*words[k])]
+        return _NUMBER if _MARK.search(word) else word.lower()
+
     out = []
     for s, e, kind, first, after in marked:
-        word = [text[a:b].lower() for a, b in words[max(0, first - 2):first]]
-        right = text[slice(*words[after])].lower() if after < len(words) else ""
-        if _MARK.search("".join(word)) or not word:
-            continue
+        word = [around(first - 2), around(first - 1)]
+        right = around(after) if after < len(words) else ""
         value = text[s:e]
-        fits = [kind] if kind is not None else [j for j in range(len(KINDS)) if _fits(j, value)]
+        kinds = BLANKS if after > first + 1 else range(len(KINDS))
+        fits = [kind] if kind is not None else [j for j in kinds if _fits(j, value)]
         out.append({"start": s, "end": e, "kind": kind, "value": value[:64] + hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest(),
                     "patterns": [f"b {' '.join(word)}"[:200], f"a {word[-1]} _ {right}"[:200]], "fits": fits})
     return out
@@ -153,35 +203,43 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "base", "seen"])
 
 
-def instance_scores(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """(value, kind, score) of candidates after some rounds; ``edges`` has (pattern, value, kind or null, fits)."""
+def instance_scores(edges: DataFrame, tolerance: float = TOLERANCE, support: int = SUPPORT) -> DataFrame:
+    """(value, kind, score) of candidates at the fixpoint; ``edges`` has (pattern, value, kind or null, fits)."""
     edges = materialise(edges, "pattern-edges")
     seeds = edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("score")).distinct()
     open_edges = edges.filter("kind IS NULL").select("pattern", "value", "fits")
     wide = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support)
-    scores = seeds
-    for _ in range(rounds):
-        patterns = (edges.select("pattern", "value").join(scores, "value").groupBy("pattern", "kind")
-                    .agg(F.sum("score").alias("mass")).join(wide, "pattern")
-                    .select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("trust")).filter(F.col("trust") >= LEAST))
+    wide_edges = materialise(edges.select("pattern", "value").join(wide, "pattern"), "wide-edges")
+    scores, before = seeds, None
+    while True:
+        patterns = (wide_edges.join(scores, "value").groupBy("pattern", "kind")
+                    .agg((F.sum("score") / (F.first("n") + 1)).alias("trust")).filter(F.col("trust") >= LEAST))
         named = (open_edges.join(patterns, "pattern").filter(F.array_contains("fits", F.col("kind")))
                  .groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust"))))).alias("score")))
         candidates = materialise(named, "instance-scores")
-        scores = seeds.unionByName(candidates)
-    return candidates
-
-
-def personal_data(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
+        if before is None:
+            grown = candidates.agg(F.max("score")).first()[0]
+        else:
+            old = before.select("value", "kind", F.col("score").alias("old"))
+            grown = candidates.join(old, ["value", "kind"], "left").agg(F.max(F.col("score") - F.coalesce("old", F.lit(0.0)))).first()[0]
+        if (grown or 0.0) <= tolerance:
+            return candidates
+        # A value may be a seed in one place and a candidate in another.
+        scores, before = seeds.unionByName(candidates).groupBy("value", "kind").agg(F.max("score").alias("score")), candidates
+
+
+def personal_data(docs: DataFrame, tolerance: float = TOLERANCE, support: int = SUPPORT, sure: float = SURE) -> DataFrame:
     """Per document: doc_id, counts of base spans by kind, base_sha256, and all spans as one string."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     found = materialise(texts.mapInArrow(_find, FOUND).withColumn("_row", F.monotonically_increasing_id()), "spans")
     seen = found.select("_row", F.explode("seen").alias("o")).select("_row", "o.*")
     edges = (seen.select(F.explode("patterns").alias("pattern"), "value", "kind", "fits")
              .groupBy("pattern", "value").agg(F.max("kind").alias("kind"), F.first("fits").alias("fits")))
-    scores = instance_scores(edges, rounds, support).filter(F.col("score") >= sure)
+    scores = instance_scores(edges, tolerance, support).filter(F.col("score") >= sure)
     best = scores.groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
+    wider = F.max("end").over(Window.partitionBy("_row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
     added = (seen.filter("kind IS NULL").select("_row", "start", "end", "value").join(best, "value")
-             .groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")))
+             .withColumn("wider", wider).filter("wider IS NULL OR wider < end").groupBy("_row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added")))
     rows = found.join(added, "_row", "left")
     every = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:long,kind:int,end:long>>"))))
     return rows.select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", _listed(every).alias("spans"),

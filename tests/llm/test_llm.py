@@ -335,6 +335,39 @@ def test_patterns_find_unseen_identifiers(spark):
     assert lone[101] == ""
 
 
+def found_by_context(spark, rows):
+    return {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.personal_data(docs_of(spark, rows)).collect()}
+
+
+def test_contexts_with_numbers_and_text_starts_count(spark):
+    rows = [(k, f"phone {k} +49 170 55512{k:02d} mobile", "a") for k in range(20)]
+    rows += [(100, "phone 2 0170-5551234 mobile", "a")]
+    rows += [(200 + k, f"+49 171 55512{k:02d} is my line", "a") for k in range(20)] + [(300, "0171-5551234 is my line", "a")]
+    spans = found_by_context(spark, rows)
+    assert spans[100] == ("phone:8:20", 1)
+    assert spans[300] == ("phone:0:12", 1)
+
+
+def test_candidates_with_blanks(spark):
+    rows = [(k, f"please ring us on +49 170 55512{k:02d} today or write", "a") for k in range(20)]
+    rows += [(100, "please ring us on 0170 555 1234 today or write", "a"), (101, "please ring us on (0170) 555 - 1234, today or write", "a"),
+             (102, "please ring us on 0170 555\n1234 today or write", "a")]
+    spans = found_by_context(spark, rows)
+    assert spans[100] == ("phone:18:31", 1)
+    assert spans[101] == ("phone:19:35", 1)
+    assert "18:30" not in spans[102][0] and "18:31" not in spans[102][0]
+
+
+def test_scores_reach_candidates_over_many_hops(spark):
+    # Each instance of a link is named by the pattern before and seeds the next one.
+    edges = [("p0", f"s{k}", 3, [3]) for k in range(40)]
+    for hop in range(8):
+        edges += [(f"p{hop + h}", f"v{hop}-{k}", None, [3]) for k in range(40) for h in (0, 1)]
+    df = spark.createDataFrame(edges, "pattern string, value string, kind int, fits array<int>")
+    scores = {r["value"]: r["score"] for r in pii.instance_scores(df).collect()}
+    assert all(f"v{hop}-0" in scores for hop in range(8))
+
+
 # 9 and 10 tokens
 
 def whole_tokenizer():
