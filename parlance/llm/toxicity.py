@@ -1,7 +1,9 @@
 """Toxicity by a small bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-A word enters as its own vector (for words of the training sample) beside a vector made from its first characters, so
-that unseen forms of a known stem count too. Two recurrent passes read a window of ``WINDOW`` words; attention pools their
+A word enters as its own vector (for words of the training sample) beside a vector made from its characters, so that
+unseen forms of a known stem count too: the character layer reads every run of ``CHARS`` characters of the word, and gives
+its outputs of the first run beside the largest of each output over all runs. A token of more than ``LONG`` characters, such as a text without white space, enters
+as overlapping pieces, which hold every run whole. Characters behind Latin-1 are hashed into a table of their own. Two recurrent passes read a window of ``WINDOW`` words; attention pools their
 states into one logit. A text is read in windows that overlap by half, to its end, and its score is that of its worst
 window. What the first layer makes of a word does not depend on its neighbours and is computed once per distinct word.
 
@@ -28,12 +30,15 @@ from parlance.llm.common import held_out, labelled_sample, text_chunks, whole_te
 WINDOW, STRIDE = 32, 16
 WORDS, WORD_DIM = 4096, 12
 CHARS, CHAR_DIM, CHAR_OUT = 8, 6, 16
+LONG, PIECE, PIECE_STEP = 24, 16, 8
+PLAIN_CODES, HASH_BITS = 256, 12
 HIDDEN, ATTENTION = 8, 8
 PER_CLASS = 1500
 ROUNDS, STEPS, BATCH, RATE = 9, 24, 256, 0.01
 THRESHOLD = 0.5
 CACHED_WORDS = 100_000
 ROWS_AT_ONCE = 256
+WORDS_AT_ONCE = 10_000
 CLOSED = 30.0
 
 Weights = dict[str, np.ndarray]
@@ -45,28 +50,47 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def initial(seed: int) -> Weights:
     rng = np.random.default_rng(seed)
-    shapes = {"word": (WORDS + 1, WORD_DIM), "char": (256, CHAR_DIM), "mix": (CHARS * CHAR_DIM, CHAR_OUT), "mix0": (CHAR_OUT,),
-              "in": (WORD_DIM + CHAR_OUT, 6 * HIDDEN), "in0": (6 * HIDDEN,), "fwd": (HIDDEN, 3 * HIDDEN), "bwd": (HIDDEN, 3 * HIDDEN),
+    shapes = {"word": (WORDS + 1, WORD_DIM), "char": (PLAIN_CODES, CHAR_DIM), "mix": (CHARS * CHAR_DIM, CHAR_OUT), "mix0": (CHAR_OUT,),
+              "in": (WORD_DIM + 2 * CHAR_OUT, 6 * HIDDEN), "in0": (6 * HIDDEN,), "fwd": (HIDDEN, 3 * HIDDEN), "bwd": (HIDDEN, 3 * HIDDEN),
               "att": (2 * HIDDEN, ATTENTION), "att0": (ATTENTION,), "ask": (ATTENTION,), "out": (2 * HIDDEN,), "out0": (1,)}
     made = {}
     for name, shape in shapes.items():
         scale = 0.0 if name.endswith("0") else 0.3 if name in ("word", "char", "ask", "out") else 1 / np.sqrt(shape[0])
         made[name] = (rng.standard_normal(shape) * scale).astype(np.float32)
+    more = np.random.default_rng(seed + 1).standard_normal((1 << HASH_BITS, CHAR_DIM)) * 0.3
+    made["char"] = np.concatenate([made["char"], more.astype(np.float32)])
     return made
 
 
-def spell(words: Sequence[str]) -> np.ndarray:
-    """Codes of the first characters of each word, 0 behind its end."""
-    text = "".join([w[:CHARS].ljust(CHARS, "\0") for w in words])
-    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4") & 255).reshape(-1, CHARS)
+def tokens(text: str) -> list[str]:
+    """Lower-cased words; overlong ones as overlapping pieces, the last up to the end."""
+    words = text.lower().split()
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [part for w in words for part in
+            ((w,) if len(w) <= LONG else (w[a:a + PIECE] for a in range(0, len(w) - PIECE + PIECE_STEP, PIECE_STEP)))]
 
 
-def first_layer(w: Weights, known: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Input of both passes for each word: (words, 6 * HIDDEN)."""
+def spell(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all runs of ``CHARS`` characters of each word, 0 behind its end, and how many runs each word has."""
+    text = "".join([w.ljust(CHARS, "\0") for w in words])
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    hashed = PLAIN_CODES + (points * np.uint32(2654435761) >> np.uint32(32 - HASH_BITS))
+    codes = np.where(points < PLAIN_CODES, points, hashed)
+    sizes = np.maximum(np.fromiter(map(len, words), np.int64, len(words)), CHARS)
+    counts = sizes - CHARS + 1
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return codes[(np.repeat(np.cumsum(sizes) - sizes, counts) + nth)[:, None] + np.arange(CHARS)], counts
+
+
+def first_layer(w: Weights, known: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+    """Input of both passes for each word: (words, 6 * HIDDEN). Each word has ``counts`` rows of codes, else one."""
     flat = w["char"][codes].reshape(len(codes), -1)
-    mixed = np.tanh(flat @ w["mix"] + w["mix0"])
-    x = np.concatenate([w["word"][known], mixed], 1)
-    return x @ w["in"] + w["in0"], (known, codes, flat, mixed, x)
+    each = np.tanh(flat @ w["mix"] + w["mix0"])
+    starts = np.arange(len(known)) if counts is None else np.cumsum(counts) - counts
+    mixed = each if len(known) == len(codes) else np.maximum.reduceat(each, starts, 0)
+    x = np.concatenate([w["word"][known], each[starts], mixed], 1)
+    return x @ w["in"] + w["in0"], (flat, each, mixed, x)
 
 
 def passes(inputs: np.ndarray, ids: np.ndarray, u: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -129,9 +153,10 @@ def padded(inputs: np.ndarray) -> np.ndarray:
     return np.concatenate([inputs.astype(np.float32), row])
 
 
-def gradients(w: Weights, known: np.ndarray, codes: np.ndarray, ids: np.ndarray, y: np.ndarray) -> tuple[Weights, float]:
+def gradients(w: Weights, known: np.ndarray, codes: np.ndarray, ids: np.ndarray, y: np.ndarray,
+              counts: np.ndarray | None = None) -> tuple[Weights, float]:
     """Gradients of the mean logistic loss over windows; ``ids`` equal to len(known) are padding."""
-    raw, (_, _, flat, mixed, x) = first_layer(w, known, codes)
+    raw, (flat, each_run, mixed, x) = first_layer(w, known, codes, counts)
     logit, (fk, bk, states, seen, share, pooled) = run_windows(w, padded(raw), ids, True)
     p = sigmoid(logit)
     d_logit = ((p - y) / len(y)).astype(np.float32)
@@ -156,7 +181,15 @@ def gradients(w: Weights, known: np.ndarray, codes: np.ndarray, ids: np.ndarray,
     d_x = d_raw @ w["in"].T
     g["word"] = np.zeros_like(w["word"])
     np.add.at(g["word"], known, d_x[:, :WORD_DIM])
-    d_mixed = d_x[:, WORD_DIM:] * (1 - mixed * mixed)
+    starts = np.arange(len(known)) if counts is None else np.cumsum(counts) - counts
+    d_mixed = d_x[:, WORD_DIM + CHAR_OUT:]
+    if len(known) != len(codes):
+        word = np.repeat(np.arange(len(known)), counts)
+        largest = each_run == mixed[word]
+        d_mixed = largest * (d_mixed / np.add.reduceat(largest, starts, 0, dtype=np.float32))[word]
+    d_mixed = d_mixed.copy()
+    d_mixed[starts] += d_x[:, WORD_DIM:WORD_DIM + CHAR_OUT]
+    d_mixed = d_mixed * (1 - each_run * each_run)
     g["mix"], g["mix0"] = flat.T @ d_mixed, d_mixed.sum(0)
     g["char"] = np.zeros_like(w["char"])
     np.add.at(g["char"], codes, (d_mixed @ w["mix"].T).reshape(len(codes), CHARS, CHAR_DIM))
@@ -180,12 +213,13 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
     examples = [(t, y) for t, y in examples if t.split()]
     if len({y for _, y in examples}) < 2:
         return None
-    lines = [t.lower().split() for t, _ in examples]
+    lines = [tokens(t) for t, _ in examples]
     seen = Counter(word for line in lines for word in set(line))
     vocabulary = {word: k for k, (word, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS], 1)}
     distinct = {word: k for k, word in enumerate(seen)}
     known = np.array([vocabulary.get(word, 0) for word in distinct])
-    codes = spell(list(distinct))
+    codes, counts = spell(list(distinct))
+    starts = np.cumsum(counts) - counts
     flat = np.array([*(distinct[word] for line in lines for word in line), len(distinct)], np.int32)
     place, owner = windows(np.array(list(map(len, lines))), len(flat) - 1)
     ids = flat[place]
@@ -196,7 +230,7 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
     for turn in range(rounds):
         score = rng.random(ids.shape[1])
         if turn >= 2:
-            inputs = halves(padded(first_layer(w, known, codes)[0]))
+            inputs = halves(padded(first_layer(w, known, codes, counts)[0]))
             score = np.concatenate([run_windows(w, inputs, ids[:, a:a + 8192])[0] for a in range(0, ids.shape[1], 8192)])
         best = np.lexsort((-score, owner))
         rank = np.arange(len(owner)) - np.repeat(cuts, np.diff(np.append(cuts, len(owner))))
@@ -210,7 +244,9 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
             local = local.reshape(part.shape)
             if used[-1] == len(distinct):
                 used = used[:-1]
-            g, _ = gradients(w, known[used], codes[used], local, label[owner[chosen[a:a + BATCH]]])
+            n = counts[used]
+            rows = np.arange(n.sum()) + np.repeat(starts[used] - np.cumsum(n) + n, n)
+            g, _ = gradients(w, known[used], codes[rows], local, label[owner[chosen[a:a + BATCH]]], n)
             step += 1
             rate = RATE * (1 - turn / (rounds + 1)) * np.sqrt(1 - 0.999 ** step) / (1 - 0.9 ** step)
             for k, d in g.items():
@@ -234,17 +270,19 @@ class Reader:
         fresh = list({word for line in lines for word in line} - self.rows.keys())
         if not fresh:
             return
-        known = np.array([self.vocabulary.get(word, 0) for word in fresh])
-        made = first_layer(self.weights, known, spell(fresh))[0].astype(np.float32)
         start, end = len(self.rows) + 1, len(self.rows) + 1 + len(fresh)
         if end > len(self.ahead):
             room = np.zeros((end + end // 4 - start, 3 * HIDDEN), np.float32)
             self.ahead, self.behind = (np.concatenate([part[:start], room]) for part in (self.ahead, self.behind))
-        self.ahead[start:end], self.behind[start:end] = halves(made)
+        for a in range(0, len(fresh), WORDS_AT_ONCE):
+            part = fresh[a:a + WORDS_AT_ONCE]
+            known = np.array([self.vocabulary.get(word, 0) for word in part])
+            made = first_layer(self.weights, known, *spell(part))[0].astype(np.float32)
+            self.ahead[start + a:start + a + len(part)], self.behind[start + a:start + a + len(part)] = halves(made)
         self.rows.update(zip(fresh, range(start, end)))
 
     def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        lines = [text.lower().split() for text in texts]
+        lines = [tokens(text) for text in texts]
         self._learn(lines)
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
         flat = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(lines)), np.int32, int(sizes.sum()))

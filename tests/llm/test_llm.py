@@ -153,6 +153,37 @@ def test_windows_cover_each_text():
         assert seen == set(range(ends[k] - n, ends[k]))
 
 
+def test_network_gradients_of_long_words():
+    rng = np.random.default_rng(0)
+    w = {k: v.astype(float) for k, v in toxicity.initial(1).items()}
+    codes, counts = toxicity.spell(["short", "averylongcompound", "другоедлинноеслово", "x", "otherlongword"])
+    known, ids, y = np.arange(5), rng.integers(0, 6, (6, 5)), np.array([0, 1, 0, 1, 1.0])
+    ids[0] = 1
+    g, _ = toxicity.gradients(w, known, codes, ids, y, counts)
+    for name, at in (("char", (ord("c"), 0)), ("char", (int(codes[-10, 0]), 2)), ("mix", (5, 3)), ("mix0", (1,)), ("in", (20, 4)), ("word", (1, 0))):
+        w[name][at] += 1e-4
+        up = toxicity.gradients(w, known, codes, ids, y, counts)[1]
+        w[name][at] -= 2e-4
+        down = toxicity.gradients(w, known, codes, ids, y, counts)[1]
+        w[name][at] += 1e-4
+        assert float(g[name][at]) == pytest.approx((up - down) / 2e-4, rel=2e-2, abs=1e-5), name
+
+
+def test_all_characters_are_read():
+    rng = random.Random(2)
+    fill = lambda: "".join(rng.choice("aeioulnrst") for _ in range(9))
+    examples = [(" ".join([fill() for _ in range(12)] + [fill() + "zwqk" + fill()] * (k % 2) + [fill() for _ in range(12)]), k % 2) for k in range(600)]
+    reader = toxicity.Reader(toxicity.fit(examples))
+    clean = ["".join(fill() for _ in range(n)) for n in (3, 30, 300) for _ in range(20)]
+    bad = [t + fill() + "zwqk" + fill() for t in clean]
+    assert np.mean(reader(bad) > reader(clean)) > 0.9
+    words = [fill() * 2 + "zwqk" for _ in range(50)]
+    assert np.mean(reader(words) > reader([w[:-4] for w in words])) > 0.9
+    assert set("".join(toxicity.tokens("ab" * 500 + "c"))) == set("abc")
+    letters, latin = (set(toxicity.spell([x])[0][0].tolist()) - {0} for x in ("šũŤжあ漢", "asTc6B"))
+    assert not letters & latin and len(letters) == 6
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     sf = "/root/testdata/sf0.1"
