@@ -45,6 +45,7 @@ ARCHIVE_DDL = {
                f"source string, external_id string",
     "source_ref": "message_id bigint, source string, external_id string",
     "attachment": "message_id bigint, position int, source_ref string, mime string, filename string, is_sticker boolean, emoji_desc string",
+    "high_water": "table_name string, id bigint",
     "media": "id bigint, message_id bigint, kind string, src string, cat string, portrait boolean, bytes bigint, content_hash string",
 }
 

@@ -50,9 +50,13 @@ FORMATS = (
         ("$3", "$1", "$2", "$4", "$5", "0", "$6", "$7", "$8")),
 )
 FLAGS = "(?dU)"
-# What a header looks like in any format, and a generic attachment marker.
-HEADER_LIKE = r"^[\[\(]?[0-9]{1,4}[\.\-/][0-9]{1,2}[\.\-/][0-9]{1,4}"
-GENERIC_ATTACHMENT = r"<\s*([^:<>]+?)\s*:\s*[^>]+\.\w{2,4}\s*>"
+# A line that may be a header of any format starts with a date, behind one opening mark at most.
+DAY_OR_MONTH, DATE_MARKS = "[0-9]{1,2}", ("[.]", "-", "/")
+DATE_ORDERS = ((DAY_OR_MONTH, DAY_OR_MONTH, "(?:[0-9]{4}|[0-9]{2})"), ("[0-9]{4}", DAY_OR_MONTH, DAY_OR_MONTH))
+DATE_LINE = r"^\p{Ps}?(?:" + "|".join(mark.join(order) for order in DATE_ORDERS for mark in DATE_MARKS) + ")(?![0-9])"
+# An attachment in any language: a word, a colon and a file name, between angle brackets.
+FILE_NAME = r"[^<>:]*[^<>:\s]\.[0-9A-Za-z]{2,4}"
+NAMED_FILE = r"<\s*(\p{L}+)\s*:\s*" + FILE_NAME + r"\s*>"
 # Attachment keywords and message markers by language.
 ATTACHMENT_KEYWORDS = ["attached", "Anhang", "allegato", "adjunto", "bijlage"]
 SYSTEM_MARKERS = [
@@ -193,7 +197,7 @@ def probe_formats(lines: DataFrame, seen_at: int, n: int = HEAD_LINES) -> DataFr
     """One event per folder that has header-like lines in no known format (fatal), and one per folder
     with an attachment keyword of an unknown language (warn). ``source`` names the folder."""
     head = head_lines(lines, n)
-    like = F.col("line").rlike(HEADER_LIKE)
+    like = F.col("line").rlike(DATE_LINE)
     shape = head.groupBy("folder").agg(
         F.bool_or(like).alias("_like"), F.bool_or(header_format(F.col("line")).isNotNull()).alias("_known"),
         F.min_by(F.when(like, F.substring("line", 1, 60)), F.when(like, F.col("pos"))).alias("_sample"))
@@ -201,9 +205,9 @@ def probe_formats(lines: DataFrame, seen_at: int, n: int = HEAD_LINES) -> DataFr
         "folder", F.lit("fatal").alias("severity"), F.lit("unknown_export_format").alias("kind"),
         F.col("_sample").alias("observed"),
         F.lit("one of [" + ", ".join(f.key for f in FORMATS) + "]").alias("expected"))
-    word = F.regexp_extract("line", "(?U)" + GENERIC_ATTACHMENT, 1)
+    word = F.regexp_extract("line", "(?U)" + NAMED_FILE, 1)
     known = F.lower(word).isin([k.lower() for k in ATTACHMENT_KEYWORDS])
-    strange = head.filter(word.rlike(r"^\p{L}+$") & ~known).groupBy("folder").agg(F.min_by(word, "pos").alias("observed"))
+    strange = head.filter((word != "") & ~known).groupBy("folder").agg(F.min_by(word, "pos").alias("observed"))
     locale = strange.select(
         "folder", F.lit("warn").alias("severity"), F.lit("unknown_export_locale").alias("kind"), "observed",
         F.lit("one of [" + ", ".join(sorted(ATTACHMENT_KEYWORDS)) + "]").alias("expected"))
