@@ -31,17 +31,39 @@ def anchor_key() -> Column:
     return F.concat_ws("\u001f", "source", F.coalesce("external_id", loose))
 
 
+MARKED = ("message", "chat")
+
+
+def highest_id(archive: dict[str, DataFrame], name: str) -> Column:
+    """Highest id a table has or ever had: ids of dropped rows are not given out again."""
+    now = identity.next_id(archive[name])
+    if "high_water" not in archive:
+        return now
+    return F.greatest(now, identity.next_id(archive["high_water"].filter(F.col("table_name") == name)))
+
+
+def high_water(archive: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, id): the highest ids so far, to be stored with an archive that rows are dropped from."""
+    rows = None
+    for name in MARKED:
+        one = archive[name].agg(F.max("id").alias("id")).select(F.lit(name).alias("table_name"), "id")
+        rows = one if rows is None else rows.unionByName(one)
+    if "high_water" in archive:
+        rows = rows.unionByName(archive["high_water"])
+    return rows.groupBy("table_name").agg(F.max("id").alias("id")).filter(F.col("id").isNotNull())
+
+
 def first_fill(rows: DataFrame, messages: DataFrame) -> DataFrame:
     """(source, chat_id) of rows for which the archive holds no message of that source yet."""
     filled = messages.filter(F.col("source").isNotNull()).select("source", "chat_id").distinct()
     return rows.select("source", "chat_id").distinct().join(filled, ["source", "chat_id"], "left_anti")
 
 
-def find_chats(specs: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def find_chats(specs: DataFrame, chats: DataFrame, marks: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Chat ids of specs by slug, creating the missing ones: (source_id, slug, chat_id) and new chats.
 
     ``specs`` carries slug, source_id, title, subtitle, is_group, origin, device_id and, where chats of several
-    sources come together, ``source``.
+    sources come together, ``source``. ``marks`` may hold the archive's ``high_water`` table.
     """
     named = ["source"] if "source" in specs.columns else []
     known = chats.select("slug", F.col("id").alias("known_id"))
@@ -49,7 +71,7 @@ def find_chats(specs: DataFrame, chats: DataFrame) -> tuple[DataFrame, DataFrame
     columns = ["slug", "device_id", "title", "subtitle", "is_group", "origin"]
     missing = matched.filter(F.col("known_id").isNull()).groupBy("slug").agg(
         F.min(F.struct(*columns[1:])).alias("_c")).select("slug", "_c.*")
-    fresh = number_rows(missing, F.col("slug"), "id", identity.next_id(chats))
+    fresh = number_rows(missing, F.col("slug"), "id", highest_id({"chat": chats, **(marks or {})}, "chat"))
     ids = matched.join(fresh.select("slug", F.col("id").alias("fresh_id")), "slug", "left").select(
         *named, "source_id", "slug", "device_id", F.coalesce("known_id", "fresh_id").alias("chat_id"))
     return ids, fresh.select("id", *columns)
@@ -89,7 +111,7 @@ def import_gated(canonical: DataFrame, events: DataFrame, specs: DataFrame, arch
 def add_rows(unseen: DataFrame, specs: DataFrame, archive: dict[str, DataFrame], by_handle: bool,
              incremental_state: bool, media_ready: bool) -> Changes:
     """Changes that add canonical rows known to be new; ``unseen`` is read several times."""
-    chat_ids, new_chats = find_chats(specs, archive["chat"])
+    chat_ids, new_chats = find_chats(specs, archive["chat"], {n: archive[n] for n in ("high_water",) if n in archive})
     owners = archive["device"].select(F.col("id").alias("device_id"), "owner_person_id")
     fresh = place(unseen, chat_ids).join(owners, "device_id", "left")
 
@@ -108,7 +130,7 @@ def add_rows(unseen: DataFrame, specs: DataFrame, archive: dict[str, DataFrame],
         state = F.when(F.col("_first"), PUBLISHED).otherwise(NEW)
     with_files = F.size("attachments") > 0
     status = F.when(with_files, "ready" if media_ready else "pending").otherwise("none")
-    numbered = number_rows(linked, anchor_key(), "id", identity.next_id(archive["message"]))
+    numbered = number_rows(linked, anchor_key(), "id", highest_id(archive, "message"))
     messages = materialise(
         numbered.withColumns({"media_status": status, "sync_state": state}).select(*MESSAGE_COLUMNS, "attachments"), "imported")
 
@@ -163,9 +185,14 @@ def compare(canonical: DataFrame, messages: DataFrame) -> DataFrame:
 def sync(canonical: DataFrame, specs: DataFrame, archive: dict[str, DataFrame]) -> Changes:
     """Live sync: new rows, changed rows and reactions. Source and archive meet once; every later step
     reads only the rows that differ."""
-    differing = materialise(compare(canonical, archive["message"]).filter("is_new OR is_changed OR is_reacted"), "differing")
+    differing = compare(canonical, archive["message"]).filter("is_new OR is_changed OR is_reacted")
+    return sync_rows(materialise(differing, "differing"), specs, archive)
+
+
+def sync_rows(differing: DataFrame, specs: DataFrame, archive: dict[str, DataFrame], media_ready: bool = False) -> Changes:
+    """Changes that bring in rows known to differ: as ``compare`` marks them, read several times."""
     unseen = differing.filter("is_new").drop("_id", "is_new", "is_changed", "is_reacted")
-    out = add_rows(unseen, specs, archive, by_handle=True, incremental_state=True, media_ready=False)
+    out = add_rows(unseen, specs, archive, by_handle=True, incremental_state=True, media_ready=media_ready)
     fresh = differing.filter(~F.col("is_new")).select(
         F.col("_id").alias("id"), "is_changed", *[F.col(c).alias(f"_{c}") for c in (*TAKEN, "reactions")])
     rows = archive["message"].join(fresh, "id")
@@ -262,7 +289,7 @@ def complete_media(messages: DataFrame, attachments: DataFrame, files: DataFrame
 
 
 def drop_chats(archive: dict[str, DataFrame], chat_ids: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the given chats and what hangs on them."""
+    """Every table without the given chats and what hangs on them; ``high_water`` keeps the highest ids."""
     gone = chat_ids.select("chat_id").distinct()
     messages = archive["message"].join(gone, "chat_id", "left_semi").select(F.col("id").alias("message_id"))
     out = dict(archive)
@@ -270,7 +297,8 @@ def drop_chats(archive: dict[str, DataFrame], chat_ids: DataFrame) -> dict[str,
     for name in ("message", "chat_participant", "chat_source"):
         if name in out:
             out[name] = archive[name].join(gone, "chat_id", "left_anti").select(*archive[name].columns)
-    for name in ("media", "source_ref"):
+    out["high_water"] = high_water(archive)
+    for name in ("media", "source_ref", "attachment"):
         if name in out:
             out[name] = archive[name].join(messages, "message_id", "left_anti").select(*archive[name].columns)
     return out

@@ -161,6 +161,26 @@ def i_08(spark, d):
     return out
 
 
+@query("i_08b_replaced_attachments", f"""
+    SELECT l_orderkey AS message_id, l_linenumber::bigint AS position, 'p' || l_partkey AS source_ref FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT event_id FROM ({STORED_SQL}) WHERE chat_id % 7 = 3)""")
+def i_08b(spark, d):
+    slugs = given.chat(spark, d).join(chosen_chats(spark, d).withColumnRenamed("chat_id", "id"), "id", "left_semi").select("slug")
+    rest = upkeep.replace_chats({**archive(spark, d), "attachment": pending_attachments(spark, d)}, slugs)
+    return rest["attachment"].select("message_id", "position", "source_ref")
+
+
+@query("i_08c_ids_after_replacement", f"""
+    WITH stored AS ({STORED_SQL})
+    SELECT event_id::varchar AS external_id, (SELECT max(event_id) FROM stored) + row_number() OVER (ORDER BY md5(source || chr(31) || external_id)) AS id
+    FROM ({CANONICAL_SQL}) WHERE chat_id % 7 = 3 OR NOT (event_id % 10 < 8 AND chat_id % 13 <> 0)""")
+def i_08c(spark, d):
+    """The chats' messages come back with ids no message ever had, though the dropped ones held the highest."""
+    slugs = given.chat(spark, d).join(chosen_chats(spark, d).withColumnRenamed("chat_id", "id"), "id", "left_semi").select("slug")
+    rest = upkeep.replace_chats(archive(spark, d), slugs)
+    return upkeep.import_new(incoming(spark, d), specs(spark, d), rest).added["message"].select("external_id", "id")
+
+
 def pending_attachments(spark, d):
     part, line = F.col("l_partkey"), F.col("l_linenumber").cast("bigint")
     return given.table(spark, d, "lineitem").select(
@@ -233,6 +253,14 @@ def i_10b(spark, d):
     return upkeep.purge(purge_tables(spark, d), chosen_chats(spark, d)).files
 
 
+@query("i_10d_purged_attachments", """
+    SELECT l_orderkey AS message_id, l_linenumber::bigint AS position, 'p' || l_partkey AS source_ref FROM lineitem
+    WHERE l_orderkey NOT IN (SELECT id FROM message WHERE chat_id % 7 = 3)""")
+def i_10d(spark, d):
+    tables = {**purge_tables(spark, d), "attachment": pending_attachments(spark, d)}
+    return upkeep.purge(tables, chosen_chats(spark, d)).archive["attachment"].select("message_id", "position", "source_ref")
+
+
 @query("i_10c_purge_device", """
     SELECT 'device' AS table_name, (SELECT count(*) FROM device WHERE id % 4 <> 0) AS rows
     UNION ALL SELECT 'chat', (SELECT count(*) FROM chat WHERE device_id % 4 <> 0)
