@@ -12,7 +12,9 @@ from parlance.functions.times import local_day
 from parlance.model import (
     AROUND_AFTER, AROUND_BEFORE, MISSING_ATTACHMENT_LABEL, PAGE_DEFAULT, PAGE_MAX, VISIBLE_MEDIA_STATUS,
 )
+from parlance.operators import text_index
 from parlance.operators.ordered import first_per_group, previous_row
+from parlance.session import materialise
 
 UNKNOWN_SENDER = "?"
 
@@ -230,6 +232,28 @@ def search(messages: DataFrame, media: DataFrame, transcripts: DataFrame, ocr: D
         F.lit(None).cast("string").alias("src"))
     spoken = transcripts.filter(hit(F.col("text"))).select("src", F.lit("transcript").alias("found_in"))
     read = ocr.filter(hit(F.col("text"))).select("src", F.lit("image").alias("found_in"))
-    files = media.join(spoken.unionByName(read), "src").select("message_id", "src", "found_in").distinct()
-    in_files = files.join(shown.select(F.col("id").alias("message_id"), "chat_id", "ts"), "message_id")
-    return in_text.unionByName(in_files)
+    return in_text.unionByName(_in_files(shown, media, spoken.unionByName(read)))
+
+
+def _in_files(shown: DataFrame, media: DataFrame, found: DataFrame) -> DataFrame:
+    files = media.join(found, "src").select("message_id", "src", "found_in").distinct()
+    return files.join(shown.select(F.col("id").alias("message_id"), "chat_id", "ts"), "message_id").select(
+        "chat_id", "message_id", "ts", "found_in", "src")
+
+
+def index_texts(messages: DataFrame, transcripts: DataFrame, ocr: DataFrame) -> DataFrame:
+    """What ``search`` looks through, for ``text_index.add_batch``: message texts by id, recognised ones by file."""
+    def texts(rows: DataFrame, kind: str, key: str) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"), "text")
+
+    return texts(messages, "text", "id").unionByName(texts(transcripts, "transcript", "src")).unionByName(texts(ocr, "image", "src"))
+
+
+def indexed_search(messages: DataFrame, media: DataFrame, root: str, needle: str, regex: bool = False) -> DataFrame:
+    """``search`` by a trigram index: the messages' own texts are not read."""
+    hits = materialise(text_index.search(messages.sparkSession, root, needle, regex).hits, "hits")
+    shown = visible(messages)
+    own = hits.filter("kind = 'text'").select(F.col("key").cast("bigint").alias("id"))
+    in_text = shown.join(own, "id", "left_semi").select(
+        "chat_id", F.col("id").alias("message_id"), "ts", F.lit("text").alias("found_in"), F.lit(None).cast("string").alias("src"))
+    return in_text.unionByName(_in_files(shown, media, hits.filter("kind <> 'text'").select(F.col("key").alias("src"), F.col("kind").alias("found_in"))))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions.text import contains_ci
-from parlance.operators import drift, overview, timeline
+from parlance.operators import drift, overview, text_index, timeline
 from parlance.plans import given
 from parlance.plans.registry import query
+from parlance.session import new_folder
 
 MOMENT = 1705000000
 PAGE = """
@@ -120,6 +121,15 @@ def p_06(spark, d):
         "severity", "last_seen")
 
 
+SEARCH_SQL = """
+    SELECT m.chat_id, m.id AS message_id, m.ts, 'text' AS found_in, NULL::varchar AS src FROM visible_message m WHERE {text_hit}
+    UNION ALL
+    SELECT m.chat_id, m.id, m.ts, f.found_in, f.src FROM (SELECT DISTINCT message_id, src FROM media) md
+    JOIN (SELECT src, 'transcript' AS found_in FROM transcript WHERE {hit}
+          UNION ALL SELECT src, 'image' FROM ocr WHERE {hit}) f ON f.src = md.src
+    JOIN visible_message m ON m.id = md.message_id"""
+
+
 @query("p_07_message_search", """
     SELECT m.chat_id, m.id AS message_id, m.ts, 'text' AS found_in, NULL::varchar AS src
     FROM visible_message m WHERE contains(lower(m.text), 'the thin')
@@ -133,6 +143,28 @@ def p_07(spark, d):
                            given.ocr(spark, d), "The thin")
 
 
+def indexed(spark, d, needle, regex=False):
+    """The search by an index of all texts, built in two batches: the second holds every fifth message again and all files."""
+    root = new_folder(spark, "index")
+    messages, none = given.message(spark, d, text=True), given.transcript(spark, d).limit(0)
+    text_index.add_batch(timeline.index_texts(messages, none, none), root, 0)
+    text_index.add_batch(timeline.index_texts(messages.filter(F.col("id") % 5 == 0), given.transcript(spark, d), given.ocr(spark, d)), root, 1)
+    return timeline.indexed_search(messages, given.media(spark, d), root, needle, regex)
+
+
+PATTERN = r"the [a-z]*(old|thin|ing) .{1,9}er\b"
+
+
+@query("p_07b_indexed_search", SEARCH_SQL.format(text_hit="contains(lower(m.text), 'the thin')", hit="contains(lower(text), 'the thin')"))
+def p_07b(spark, d):
+    return indexed(spark, d, "The thin")
+
+
+@query("p_07c_indexed_pattern", SEARCH_SQL.format(text_hit=f"regexp_matches(m.text, '(?i){PATTERN}')", hit=f"regexp_matches(text, '(?i){PATTERN}')"))
+def p_07c(spark, d):
+    return indexed(spark, d, PATTERN, True)
+
+
 @query("l_01_latest", PAGE.format(extra="n >= 50 AS has_more", dir="DESC", where="true", limit=50))
 def l_01(spark, d):
     return page_columns(timeline.latest(given.message(spark, d, text=True)), "has_more")
