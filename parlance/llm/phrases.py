@@ -11,7 +11,8 @@ all for exactly ``shards`` scans in a row, so no count depends on the table. Its
 
 Texts are split once: the words of a shard are stored as numbers, 64-bit hashes of word and language, in chunks with a local
 alphabet of at most 65,536. Should two words share a number, which the table of words shows, the texts are split again with
-other hashes. A scan counts runs of local codes by sorting them, and Spark adds up the chunks' counts by the words' numbers.
+other hashes. A scan counts runs of local codes by sorting them. What a task found travels as one blob for each bucket of phrase
+hashes, and buckets, whose number grows with the words, are added up side by side: a row in these tables is a block of phrases.
 
 Null texts count as empty; a null language counts as ``und``. Case is folded for A-Z only. A document given twice counts
 twice. Texts of any length are read whole: pieces longer than a chunk go on in the next, which repeats their last words as
@@ -42,12 +43,13 @@ CONTAINED = 50
 TOP = 2000
 UNKNOWN = "und"
 
-SLOT_BITS, BLOCK_BITS = 24, 14
+SLOT_BITS, BLOCK_BITS = 23, 14
 NEVER = 255
 CHUNK_WORDS, ALPHABET = 200_000, 1 << 16
 RUN_CHARS, SLICE_BYTES = 1_000_000, 1_000_000
 LONG_WORD = 256
 KNOWN_WORDS = 300_000
+ROWS_HELD, WORDS_A_BUCKET = 1_500_000, 1_500_000
 ROWS_AT_ONCE = 512
 ATTEMPTS = 8
 
@@ -258,46 +260,131 @@ def due_phrases(table: np.ndarray, ids: np.ndarray, codes: np.ndarray, context:
         yield length, at[due], begun[due]
 
 
-def scan(chunks: DataFrame, active, step: int, shards: int, longest: int) -> DataFrame:
-    """Counts of the phrases in their cycle at a step: w1 ... (0 behind the end), since, n."""
-    names = [f"w{k + 1}" for k in range(longest)]
+BLOBS_DDL = "kind int, bucket int, words binary, since binary, counts binary"
+RUNNING, DONE, RISING = 0, 1, 2
+
+
+@dataclass
+class Tally:
+    """Phrases side by side: the numbers of their words (0 behind the end), when they became active, how often they were seen."""
+
+    words: np.ndarray
+    since: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[Tally], longest: int) -> Tally:
+        if not parts:
+            return cls(np.zeros((0, longest), np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int64))
+        return cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("words", "since", "counts")))
+
+    @classmethod
+    def read(cls, words: bytes, since: bytes, counts: bytes, longest: int) -> Tally:
+        return cls(np.frombuffer(words, "<u8").reshape(-1, longest), np.frombuffer(since, np.uint8), np.frombuffer(counts, "<i8"))
+
+    def blobs(self) -> tuple[bytes, bytes, bytes]:
+        return self.words.tobytes(), self.since.tobytes(), self.counts.tobytes()
+
+    def __getitem__(self, rows) -> Tally:
+        return Tally(self.words[rows], self.since[rows], self.counts[rows])
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def order(self) -> np.ndarray:
+        """A 64-bit hash of each phrase, by which phrases are sorted and dealt into buckets."""
+        value = np.zeros(len(self), np.uint64)
+        for k in range(self.words.shape[1]):
+            value = mixed(value * _ODD[2] + self.words[:, k] + _ODD[3])
+        return value
+
+    def summed(self) -> tuple[Tally, np.ndarray]:
+        """Each phrase once, in the order of the hashes, which come along."""
+        value = self.order()
+        at = np.argsort(value)
+        words, value = self.words[at], value[at]
+        other = (words[1:] != words[:-1]).any(1)
+        if (other & (value[1:] == value[:-1])).any():
+            # Different phrases with one hash: sort by the words themselves as well.
+            at = np.lexsort((*self.words.T, self.order()))
+            words, value = self.words[at], self.order()[at]
+            other = (words[1:] != words[:-1]).any(1)
+        starts = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), bool), other)))
+        counts = np.add.reduceat(self.counts[at], starts) if len(starts) else np.zeros(0, np.int64)
+        return Tally(words[starts], self.since[at[starts]], counts), value[starts]
+
+
+def scan(chunks: DataFrame, active, step: int, shards: int, longest: int, buckets: int) -> DataFrame:
+    """Counts of the phrases in their cycle at a step, as blobs for each bucket of hashes."""
+    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+
+    def dealt(parts: list[Tally]) -> pa.RecordBatch:
+        tally, value = Tally.of(parts, longest).summed()
+        cuts = np.append(np.searchsorted(value, edges), len(value))
+        used = np.flatnonzero(np.diff(cuts)).tolist()
+        blobs = [tally[cuts[k]:cuts[k + 1]].blobs() for k in used]
+        return pa.RecordBatch.from_arrays([pa.array([RUNNING] * len(used), pa.int32()), pa.array(used, pa.int32()), *(pa.array([b[k] for b in blobs], pa.binary()) for k in range(3))],
+                                          ["kind", "bucket", "words", "since", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for context, ids, codes in zip(batch.column("context").to_pylist(), batch.column("ids"), batch.column("codes")):
                 ids, codes = np.frombuffer(ids.as_buffer(), np.uint64), np.frombuffer(codes.as_buffer(), "<u2")
                 for length, at, begun in due_phrases(active.value, ids, codes, context, step, shards, longest):
                     if not len(at):
                         continue
-                    parts = [codes[at + k] for k in range(length)]
+                    each = [codes[at + k] for k in range(length)]
                     if length <= 3:
                         key = np.zeros(len(at), np.int64)
-                        for p in parts:
+                        for p in each:
                             key = key << 16 | p
                         first, n = np.unique(key, return_index=True, return_counts=True)[1:]
                     else:
-                        first, n = np.unique(np.stack(parts, 1), axis=0, return_index=True, return_counts=True)[1:]
-                    words = [ids[p[first]].view(np.int64) for p in parts] + [np.zeros(len(first), np.int64)] * (longest - length)
-                    yield pa.RecordBatch.from_arrays([*(pa.array(w) for w in words), pa.array(begun[first].astype(np.int16)), pa.array(n.astype(np.int64))],
-                                                     [*names, "since", "n"])
-
-    schema = ", ".join(f"{n} long" for n in names) + ", since short, n long"
-    return chunks.filter(F.col("shard") == (step - 1) % shards).select("context", "ids", "codes").mapInArrow(count, schema)
-
-
-def newly_active(frequent: DataFrame, table: np.ndarray, longest: int) -> np.ndarray:
-    """Slots of the phrases that may begin or end a longer one and are not in the table yet."""
-    names = [f"w{k + 1}" for k in range(longest)]
+                        first, n = np.unique(np.stack(each, 1), axis=0, return_index=True, return_counts=True)[1:]
+                    words = np.zeros((len(first), longest), np.uint64)
+                    for k, p in enumerate(each):
+                        words[:, k] = ids[p[first]]
+                    parts.append(Tally(words, begun[first], n.astype(np.int64)))
+                    held += len(first)
+                if held >= ROWS_HELD:
+                    yield dealt(parts)
+                    parts, held = [], 0
+        if parts:
+            yield dealt(parts)
+
+    return chunks.filter(F.col("shard") == (step - 1) % shards).select("context", "ids", "codes").mapInArrow(count, BLOBS_DDL)
+
+
+def added_up(blobs: DataFrame, step: int, shards: int, longest: int, threshold: int) -> DataFrame:
+    """The blobs of each bucket as one of each kind: what is still in its cycle, what has completed it and reached the
+    threshold, and once more what has reached it on the way. The rest is forgotten."""
+
+    def add(part: pa.Table) -> pa.Table:
+        parts = [Tally.read(w, s, c, longest) for w, s, c in zip(*(part.column(x).to_pylist() for x in ("words", "since", "counts")))]
+        tally = Tally.of(parts, longest).summed()[0]
+        ended, often = tally.since.astype(np.int64) + shards <= step, tally.counts >= threshold
+        rows = [(kind, tally[chosen].blobs()) for kind, chosen in ((RUNNING, ~ended), (DONE, ended & often), (RISING, ~ended & often)) if chosen.any()]
+        bucket = part.column("bucket")[0].as_py()
+        return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([bucket] * len(rows), pa.int32()), *(pa.array([b[k] for _, b in rows], pa.binary()) for k in range(3))],
+                        names=["kind", "bucket", "words", "since", "counts"])
+
+    return blobs.groupBy("bucket").applyInArrow(add, BLOBS_DDL)
+
+
+def activate(table: np.ndarray, frequent: DataFrame, step: int, longest: int) -> bool:
+    """Enter the step in the slots of phrases that may begin or end a longer one; whether any slot was free."""
     size, block = 1 << SLOT_BITS, 1 << BLOCK_BITS
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size, bool)
         for batch in batches:
-            words = [batch.column(c).to_numpy().view(np.uint64) for c in names]
-            length = sum((w != 0).astype(np.int64) for w in words)
-            for k in range(1, longest):
-                mine = length == k
-                bits[phrase_slot([w[mine] for w in words[:k]])] = True
+            for blob in batch.column("words").to_pylist():
+                words = np.frombuffer(blob, "<u8").reshape(-1, longest)
+                length = (words != 0).sum(1)
+                for k in range(1, longest):
+                    mine = words[length == k]
+                    bits[phrase_slot([mine[:, j] for j in range(k)])] = True
         rows = bits.reshape(-1, block)
         used = np.flatnonzero(rows.any(1)).tolist()
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(rows[k]).tobytes() for k in used], pa.binary())], ["block", "bits"])
@@ -306,11 +393,26 @@ def newly_active(frequent: DataFrame, table: np.ndarray, longest: int) -> np.nda
         found = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in part["bits"]])
         return pd.DataFrame([(part["block"].iloc[0], found.tobytes())], columns=["block", "bits"])
 
-    kind = "block int, bits binary"
-    fresh = np.zeros((size // block, block), bool)
-    for row in frequent.select(*names).mapInArrow(mark, kind).groupBy("block").applyInPandas(either, kind).collect():
-        fresh[row["block"]] = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool)
-    return np.flatnonzero(fresh.reshape(-1) & (table == NEVER))
+    kind, any_free = "block int, bits binary", False
+    for row in frequent.select("words").mapInArrow(mark, kind).groupBy("block").applyInPandas(either, kind).collect():
+        slots = table[row["block"] * block:(row["block"] + 1) * block]
+        free = np.unpackbits(np.frombuffer(row["bits"], np.uint8)).astype(bool) & (slots == NEVER)
+        slots[free] = step
+        any_free = any_free or bool(free.any())
+    return any_free
+
+
+def as_rows(blobs: DataFrame, longest: int) -> DataFrame:
+    """Counted phrases as rows w1 ..., n."""
+    names = [f"w{k + 1}" for k in range(longest)]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist()):
+                words = np.frombuffer(w, "<i8").reshape(-1, longest)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(words[:, k])) for k in range(longest)), pa.array(np.frombuffer(c, "<i8"))], [*names, "n"])
+
+    return blobs.select("words", "counts").mapInArrow(rows, ", ".join(f"{n} long" for n in [*names, "n"]))
 
 
 @dataclass
@@ -342,33 +444,27 @@ def dynamic_counts(docs: DataFrame, threshold: int = THRESHOLD, shards: int = SH
     """Exact counts of all phrases of 1 to ``longest`` words that occur ``threshold`` times."""
     if not 0 < longest * shards < NEVER:
         raise ValueError("too many steps for a byte")
-    context = docs.sparkSession.sparkContext
-    names = [f"w{k + 1}" for k in range(longest)]
+    spark = docs.sparkSession
     chunks, words = _split_whole(docs, shards, longest)
+    spoken = materialise(chunks.select(F.explode("spoken").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n")), "phrase-languages")
+    buckets = max(1, -(-(spoken.agg(F.sum("n")).first()[0] or 0) // WORDS_A_BUCKET))
     table = np.full(1 << SLOT_BITS, NEVER, np.uint8)
     running = done = None
     step = last = 0
     while step < last + shards:
         step += 1
-        active = context.broadcast(table)
-        counted = scan(chunks, active, step, shards, longest)
-        if running is not None:
-            counted = counted.unionByName(running)
-        counted = counted.groupBy(*names, "since").agg(F.sum("n").alias("n"))
-        # Who has met every shard and stayed below the threshold is forgotten.
-        ended = F.col("since") + shards <= step
-        counted = materialise(counted.filter(~ended | (F.col("n") >= threshold)), "phrase-counts")
+        active = spark.sparkContext.broadcast(table)
+        blobs = scan(chunks, active, step, shards, longest, buckets)
+        blobs = blobs if running is None else blobs.unionByName(running)
+        path = new_folder(spark, "phrase-counts")
+        added_up(blobs, step, shards, longest, threshold).write.partitionBy("kind").parquet(path)
         active.destroy()
-        finished = counted.filter(ended).select(*names, "n")
+        counted = spark.read.schema(BLOBS_DDL).parquet(path)
+        running, finished = (counted.filter(F.col("kind") == k) for k in (RUNNING, DONE))
         done = finished if done is None else done.unionByName(finished)
-        running = counted.filter(~ended)
-        shorter = F.col(names[-1]) == 0
-        fresh = newly_active(counted.filter(shorter & (F.col("n") >= threshold)), table, longest) if longest > 1 else np.zeros(0, np.int64)
-        if len(fresh):
-            table = table.copy()
-            table[fresh], last = step, step
-    spoken = chunks.select(F.explode("spoken").alias("s")).groupBy("s.lang").agg(F.sum("s.n").alias("n"))
-    return Counts(done, words, spoken, step)
+        if activate(table, counted.filter(F.col("kind") != RUNNING), step, longest):
+            last = step
+    return Counts(materialise(as_rows(done, longest), "phrases"), words, spoken, step)
 
 
 def _score(k: int) -> Column:
