@@ -8,14 +8,16 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from parlance.session import materialise
 
 SPACE = "\\x20\\x09-\\x0D"
 WORDS = re.compile(f"[^{SPACE}]+")
 CHUNK_CHARS = 4_000_000
+SAMPLE_CHARS = 20_000_000
 
-__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks", "chunk_count",
+__all__ = ["SPACE", "WORDS", "CHUNK_CHARS", "SAMPLE_CHARS", "table", "key_hash", "held_out", "whole_text", "materialise", "text_chunks", "chunk_count",
            "labelled_sample"]
 
 
@@ -54,10 +56,12 @@ def text_chunks(texts: Iterable[str], limit: int = CHUNK_CHARS) -> Iterator[tupl
         yield start, end
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key_remainder: Column) -> list[tuple[str, int]]:
-    """Whole texts with their 0/1 label, at most ``per_class`` of each, chosen by hashed id among the rows that may teach.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, key_remainder: Column,
+                    chars: int = SAMPLE_CHARS) -> Iterator[tuple[str, int]]:
+    """Whole texts with their 0/1 label, of each at most ``per_class`` ids and ``chars`` characters, by hashed id.
 
-    Only this bounded sample reaches the driver. Labels given twice for an id count once, the larger one.
+    Only this bounded sample reaches the driver, and each text is let go once it was handed out. Of several texts of an id the
+    first in order counts; labels given twice for an id count once, the larger one.
     """
     ids = (labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~key_remainder)
            .groupBy("doc_id").agg(F.max(label).alias("_label")))
@@ -65,6 +69,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for value in (0, 1):
         part = ids.filter(F.col("_label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (docs.select("doc_id", whole_text().alias("_text"))
-            .join(F.broadcast(picked), "doc_id").select("doc_id", "_text", "_label").collect())
-    return [(r["_text"], r["_label"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["_text"]))]
+    found = (docs.select("doc_id", whole_text().alias("_text")).join(F.broadcast(picked), "doc_id")
+             .groupBy("doc_id", "_label").agg(F.min("_text").alias("_text")))
+    so_far = Window.partitionBy("_label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("_chars", F.sum(F.length("_text")).over(so_far)).filter(F.col("_chars") <= chars).select("doc_id", "_text", "_label").collect()
+    rows.sort(key=lambda r: r["doc_id"], reverse=True)
+    while rows:
+        _, text, value = rows.pop()
+        yield text, value

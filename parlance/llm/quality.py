@@ -98,7 +98,7 @@ def probabilities(texts: Sequence[str], weights: np.ndarray, bias: float, hashes
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: doc_id, held_out, score and predicted."""
     away = held_out(5, 0)
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "quality", per_class, away)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(list(labelled_sample(docs, labels, "quality", per_class, away))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (weights, bias), hashes = model.value, WordHashes()

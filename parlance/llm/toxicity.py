@@ -17,7 +17,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -39,6 +39,7 @@ THRESHOLD = 0.5
 CACHED_WORDS = 100_000
 ROWS_AT_ONCE = 256
 WORDS_AT_ONCE = 10_000
+WINDOWS_AT_ONCE = 1024
 CLOSED = 30.0
 
 Weights = dict[str, np.ndarray]
@@ -203,35 +204,66 @@ def windows(sizes: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     count = np.where(sizes == 0, 0, np.maximum(1, -(-(sizes - WINDOW) // STRIDE) + 1))
     owner = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = (ends - sizes)[owner] + nth * STRIDE
-    place = at[None, :] + np.arange(WINDOW)[:, None]
-    return np.where(place < ends[owner][None, :], place, pad), owner
-
-
-def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -> tuple[Weights, dict[str, int]] | None:
+    at = ((ends - sizes)[owner] + nth * STRIDE).astype(np.int32)
+    place = at[None, :] + np.arange(WINDOW, dtype=np.int32)[:, None]
+    return np.where(place < ends[owner].astype(np.int32)[None, :], place, np.int32(pad)), owner
+
+
+def numbered(examples: Iterable[tuple[str, int]]) -> tuple[list[str], np.ndarray, list[np.ndarray], list[int]]:
+    """Distinct words by number, in how many texts each occurs, and each text's words as numbers, with the labels.
+
+    Texts without words teach nothing. No text or word of a text is kept.
+    """
+    number: dict[str, int] = {}
+    lines, labels, seen = [], [], Counter()
+    for text, y in examples:
+        line = np.fromiter((number.setdefault(word, len(number)) for word in tokens(text)), np.int32)
+        if len(line):
+            lines.append(line)
+            labels.append(y)
+            seen.update(np.unique(line).tolist())
+    return list(number), np.array([seen[k] for k in range(len(number))], np.int64), lines, labels
+
+
+def all_inputs(w: Weights, known: np.ndarray, codes: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first layer of all words for both directions, with the padding row, made ``WORDS_AT_ONCE`` words at a time."""
+    ahead, behind = (np.zeros((len(known) + 1, 3 * HIDDEN), np.float32) for _ in range(2))
+    for a in range(0, len(known), WORDS_AT_ONCE):
+        b = min(a + WORDS_AT_ONCE, len(known))
+        rows = slice(starts[a], starts[b - 1] + counts[b - 1])
+        made = first_layer(w, known[a:b], codes[rows], counts[a:b])[0]
+        ahead[a:b], behind[a:b] = made[:, :3 * HIDDEN], made[:, 3 * HIDDEN:]
+    ahead[-1, :HIDDEN] = behind[-1, :HIDDEN] = CLOSED
+    return ahead, behind
+
+
+def fit(examples: Iterable[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -> tuple[Weights, dict[str, int]] | None:
     """Weights and the numbers of the known words; None without examples of both classes."""
-    examples = [(t, y) for t, y in examples if t.split()]
-    if len({y for _, y in examples}) < 2:
+    distinct, texts, lines, labels = numbered(examples)
+    if len(set(labels)) < 2:
         return None
-    lines = [tokens(t) for t, _ in examples]
-    seen = Counter(word for line in lines for word in set(line))
-    vocabulary = {word: k for k, (word, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS], 1)}
-    distinct = {word: k for k, word in enumerate(seen)}
-    known = np.array([vocabulary.get(word, 0) for word in distinct])
-    codes, counts = spell(list(distinct))
-    starts = np.cumsum(counts) - counts
-    flat = np.array([*(distinct[word] for line in lines for word in line), len(distinct)], np.int32)
-    place, owner = windows(np.array(list(map(len, lines))), len(flat) - 1)
+    common = sorted(range(len(distinct)), key=lambda k: (-texts[k], distinct[k]))[:WORDS]
+    vocabulary = {distinct[k]: at for at, k in enumerate(common, 1)}
+    known = np.zeros(len(distinct), np.int32)
+    known[common] = np.arange(1, len(common) + 1)
+    codes, counts = spell(distinct)
+    starts, words = np.cumsum(counts) - counts, len(distinct)
+    sizes = np.array(list(map(len, lines)))
+    flat = np.concatenate([*lines, np.array([words], np.int32)])
+    del distinct, lines
+    place, owner = windows(sizes, len(flat) - 1)
     ids = flat[place]
-    label = np.array([y for _, y in examples], np.float32)
+    del place
+    label = np.array(labels, np.float32)
     cuts = np.flatnonzero(np.diff(owner, prepend=-1))
     w, rng = initial(seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(x) for k, x in w.items()}, {k: np.zeros_like(x) for k, x in w.items()}, 0
     for turn in range(rounds):
         score = rng.random(ids.shape[1])
         if turn >= 2:
-            inputs = halves(padded(first_layer(w, known, codes, counts)[0]))
-            score = np.concatenate([run_windows(w, inputs, ids[:, a:a + 8192])[0] for a in range(0, ids.shape[1], 8192)])
+            inputs = all_inputs(w, known, codes, counts, starts)
+            score = np.concatenate([run_windows(w, inputs, ids[:, a:a + WINDOWS_AT_ONCE])[0] for a in range(0, ids.shape[1], WINDOWS_AT_ONCE)])
+            del inputs
         best = np.lexsort((-score, owner))
         rank = np.arange(len(owner)) - np.repeat(cuts, np.diff(np.append(cuts, len(owner))))
         chosen = best[rank < np.where(label[owner] > 0, 1 if turn >= 2 else 3, 3)]
@@ -242,7 +274,7 @@ def fit(examples: list[tuple[str, int]], seed: int = 11, rounds: int = ROUNDS) -
             part = ids[:, chosen[a:a + BATCH]]
             used, local = np.unique(part, return_inverse=True)
             local = local.reshape(part.shape)
-            if used[-1] == len(distinct):
+            if used[-1] == words:
                 used = used[:-1]
             n = counts[used]
             rows = np.arange(n.sum()) + np.repeat(starts[used] - np.cumsum(n) + n, n)
@@ -306,7 +338,8 @@ def scores(batch: pa.RecordBatch, reader: Reader | None) -> np.ndarray:
 
 def trained(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS):
     """The fitted model as a broadcast value."""
-    return docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", per_class, held_out(5, 0))))
+    model = fit(labelled_sample(docs, labels, "toxic", per_class, held_out(5, 0)))
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
