@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,10 +25,11 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
     runs: list[dict] = []
     _extend(runs, "keep", old[:head])
     a, b = old[head:], new[head:]
-    steps = _suffix_steps(a, b)
+    rows = _suffix_steps(a, b)
+    here, below = next(rows), next(rows, 0)
 
-    def common(i: int, j: int) -> int:
-        return (steps[i] & ((1 << (len(b) - j)) - 1)).bit_count()
+    def common(steps: int, j: int) -> int:
+        return (steps & ((1 << (len(b) - j)) - 1)).bit_count()
 
     i = j = 0
     gone: list[str] = []
@@ -38,10 +40,10 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
             _extend(runs, "ins", come)
             _extend(runs, "keep", [a[i]])
             gone, come = [], []
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and common(i + 1, j) >= common(i, j + 1)):
+            i, j, here, below = i + 1, j + 1, below, next(rows, 0)
+        elif j == len(b) or (i < len(a) and common(below, j) >= common(here, j + 1)):
             gone.append(a[i])
-            i += 1
+            i, here, below = i + 1, below, next(rows, 0)
         else:
             come.append(b[j])
             j += 1
@@ -50,20 +52,42 @@ def diff_runs(old: list[str], new: list[str]) -> list[dict]:
     return runs
 
 
-def _suffix_steps(a: list[str], b: list[str]) -> list[int]:
-    """For every suffix of ``a``, the positions where its common subsequence with ever longer suffixes of
-    ``b`` grows, as bits counted from the end of ``b`` (bit-parallel row updates on whole integers)."""
+ROWS_HELD = 64
+
+
+def _suffix_steps(a: list[str], b: list[str]) -> Iterator[int]:
+    """For every suffix of ``a``, the longest first, the positions where its common subsequence with ever longer suffixes of
+    ``b`` grows, as bits counted from the end of ``b`` (bit-parallel row updates on whole integers).
+
+    Rows follow from the shortest suffix up but are needed from the longest down. So the row in the middle is found first,
+    then the upper half from it, then the lower half: at any time one row for each halving is held, and the rows of the
+    smallest part, however long the texts are.
+    """
     found: dict[str, int] = {}
     for k, token in enumerate(reversed(b)):
         found[token] = found.get(token, 0) | 1 << k
     full = (1 << len(b)) - 1
-    flat = full
-    steps = [0] * (len(a) + 1)
-    for i in range(len(a) - 1, -1, -1):
-        hits = flat & found.get(a[i], 0)
-        flat = ((flat + hits) | (flat - hits)) & full
-        steps[i] = full & ~flat
-    return steps
+
+    def before(flat: int, token: str) -> int:
+        hits = flat & found.get(token, 0)
+        return ((flat + hits) | (flat - hits)) & full
+
+    def part(low: int, high: int, flat: int) -> Iterator[int]:
+        if high - low <= ROWS_HELD:
+            held = []
+            for i in range(high - 1, low - 1, -1):
+                flat = before(flat, a[i])
+                held.append(full & ~flat)
+            yield from reversed(held)
+            return
+        middle, between = (low + high) // 2, flat
+        for i in range(high - 1, middle - 1, -1):
+            between = before(between, a[i])
+        yield from part(low, middle, between)
+        yield from part(middle, high, flat)
+
+    yield from part(0, len(a), full)
+    yield 0
 
 
 def _extend(runs: list[dict], op: str, tokens: list[str]) -> None:
@@ -84,8 +108,15 @@ def _diffs(old: pd.Series, new: pd.Series) -> pd.Series:
 text_diff = F.pandas_udf(_diffs, DIFF_TYPE).asNondeterministic()
 
 
+# Pairs of about so many bytes to a task: a comparison grows with the product of two lengths, moving texts with their sum.
+TASK_BYTES, UNKNOWN_SIZE = 4 << 20, 1 << 60
+
+
 def edit_diffs(pairs: DataFrame, old: str, new: str, name: str = "runs") -> DataFrame:
-    """Add the runs between two text columns. The comparison costs far more than moving the texts, and
-    input splits differ widely in that cost, so the pairs are spread evenly over all cores first."""
-    cores = pairs.sparkSession.sparkContext.defaultParallelism
-    return pairs.repartition(4 * cores).withColumn(name, text_diff(old, new))
+    """Add the runs between two text columns. The comparison costs far more than moving the texts, and input splits differ
+    widely in that cost, so the pairs are spread evenly first: over tasks by the estimated size, or over all cores at least."""
+    spark = pairs.sparkSession
+    size = int(pairs.select(old, new)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    known = size // TASK_BYTES if size < UNKNOWN_SIZE else 0
+    tasks = max(4 * spark.sparkContext.defaultParallelism, known)
+    return pairs.repartition(tasks).withColumn(name, text_diff(old, new))

@@ -73,3 +73,48 @@ def test_diff_of_long_texts():
     runs = diff_runs(a, b)
     assert "".join(r["text"] for r in runs if r["op"] != "ins") == "".join(a)
     assert "".join(r["text"] for r in runs if r["op"] != "del") == "".join(b)
+
+
+def plain_runs(a, b):
+    """The whole table of common lengths, and the walk through it."""
+    most = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            most[i][j] = most[i + 1][j + 1] + 1 if a[i] == b[j] else max(most[i + 1][j], most[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            out.append(("keep", a[i]))
+            i, j = i + 1, j + 1
+        elif j == len(b) or (i < len(a) and most[i + 1][j] >= most[i][j + 1]):
+            out.append(("del", a[i]))
+            i += 1
+        else:
+            out.append(("ins", b[j]))
+            j += 1
+    return [[t for op, t in out if op != side] for side in ("ins", "del")], {op: "".join(t for o, t in out if o == op) for op in ("keep", "del", "ins")}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=200), st.lists(st.sampled_from("abcd"), max_size=200))
+def test_diff_takes_the_same_steps_as_the_whole_table(a, b):
+    runs = diff_runs(a, b)
+    _, want = plain_runs(a, b)
+    assert {op: "".join(r["text"] for r in runs if r["op"] == op) for op in want} == want
+
+
+def test_diff_of_very_long_texts_in_little_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(1)
+    a = [f"w{rng.randrange(5000)}" for _ in range(20000)]
+    b = [w for w in a if rng.random() > 0.1]
+    b = [x for w in b for x in ((w, f"n{rng.randrange(900)}") if rng.random() < 0.1 else (w,))]
+    tracemalloc.start()
+    runs = diff_runs(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "".join(r["text"] for r in runs if r["op"] != "ins") == "".join(a)
+    assert "".join(r["text"] for r in runs if r["op"] != "del") == "".join(b)
+    assert peak < 20_000_000
