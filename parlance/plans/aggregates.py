@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parlance.operators import drift, overview, reactions, timeline
+from parlance.operators import drift, kept, overview, reactions, timeline
 from parlance.plans import given
 from parlance.plans.reading import DRIFT_STORE_SQL, ITEMS_SQL
 from parlance.plans.registry import query
@@ -236,3 +236,51 @@ def c_11(spark, d):
 @query("c_11b_tapback_fold_per_sender", FOLD_SQL.format(more=", event_id % 9"))
 def c_11b(spark, d):
     return reactions.live_reactions(reactions.tapback_events(reaction_events(spark, d)), per_sender=True)
+
+
+# --- kept aggregates -----------------------------------------------------------------------------------
+
+
+def kept_after_changes(spark, d):
+    """Eight messages in ten to start with; then the rest comes in, chats are read, and chats are purged."""
+    messages, media = given.message(spark, d), given.media(spark, d)
+    known, arrived = F.col("id") % 10 < 8, F.col("id") % 10 >= 8
+    none = kept.owned(media, messages).limit(0)
+    state = kept.start(messages.filter(known), media.join(messages.filter(known).select(F.col("id").alias("message_id")), "message_id", "left_semi")).stored()
+    fresh = messages.filter(arrived)
+    state = kept.after(state, fresh, messages.limit(0), messages, kept.owned(media, fresh), none).stored()
+    hit = (F.col("chat_id") % 7 == 3) & (F.col("sync_state") == "new")
+    read = messages.withColumn("sync_state", F.when(F.col("chat_id") % 7 == 3, "published").otherwise(F.col("sync_state")))
+    state = kept.after(state, messages.filter(hit).withColumn("sync_state", F.lit("published")), messages.filter(hit), read, none, none).stored()
+    gone = read.filter(F.col("chat_id") % 7 == 5)
+    return kept.after(state, messages.limit(0), gone, read.filter(F.col("chat_id") % 7 != 5), none, kept.owned(media, gone)).stored()
+
+
+KEPT_SQL = """
+    WITH m AS (SELECT id, chat_id, is_me, ts, media_status IN ('ready', 'none') AS shown, sync_state = 'new' AND chat_id % 7 <> 3 AS unread
+               FROM message WHERE chat_id % 7 <> 5)"""
+
+
+@query("a_01b_kept_activity", KEPT_SQL + """
+    SELECT chat_id, count_if(shown) AS total, count_if(shown AND is_me) AS me, count_if(shown AND NOT is_me) AS them, count_if(shown AND unread) AS new_count,
+           min(ts) FILTER (WHERE shown) AS first, max(ts) FILTER (WHERE shown) AS last FROM m GROUP BY 1""")
+def a_01b(spark, d):
+    return kept.activity(kept_after_changes(spark, d), given.person(spark, d)).drop("chat_avatar")
+
+
+@query("a_02b_kept_media", KEPT_SQL + """
+    SELECT m.chat_id, CASE WHEN md.kind IN ('image', 'video', 'audio') THEN md.kind ELSE 'other' END AS kind, m.is_me, count(*) AS n, sum(coalesce(md.bytes, 0))::bigint AS bytes
+    FROM media md JOIN m ON m.id = md.message_id WHERE md.src IS NOT NULL GROUP BY ALL""")
+def a_02b(spark, d):
+    return kept_after_changes(spark, d).files
+
+
+@query("a_04b_kept_days", KEPT_SQL + """
+    SELECT chat_id, cast(DATE '1970-01-01' + cast(floor(ts / 86400.0) AS int) AS date) AS day, count(*) AS n FROM m WHERE shown GROUP BY 1, 2""")
+def a_04b(spark, d):
+    return kept.day_counts(kept_after_changes(spark, d))
+
+
+@query("a_06b_kept_updates", KEPT_SQL + "SELECT chat_id, count(*) AS new, max(ts) AS last FROM m WHERE unread GROUP BY 1")
+def a_06b(spark, d):
+    return kept.update_counts(kept_after_changes(spark, d))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import contains_ci
 from parlance.model import ATTACHMENT, REACTION
-from parlance.operators import overview, upkeep
+from parlance.operators import overview, ranges, upkeep
 from parlance.plans import given
 from parlance.plans.joins import before_edit, CANONICAL_SQL, canonical, chosen_chats
 from parlance.plans.registry import query
+from parlance.session import materialise, new_folder
 
 
 def incoming(spark, d):
@@ -129,16 +130,31 @@ def i_06e(spark, d):
     return added["attachment"].join(owners, "message_id").select("source", "external_id", "source_ref", "mime")
 
 
-@query("i_07_sync_updates", f"""
+SYNC_SQL = f"""
     SELECT event_id AS id, CASE WHEN event_id % 50 = 0 THEN body || ' altered' ELSE body END AS text,
            CASE WHEN event_id % 50 = 0 THEN 'new' ELSE 'published' END AS sync_state,
            CASE WHEN event_id % 40 = 0 THEN '❤️' ELSE '' END AS reactions
-    FROM ({STORED_SQL}) WHERE event_id % 50 = 0 OR event_id % 40 = 0""")
-def i_07(spark, d):
-    changes = upkeep.sync(incoming(spark, d), specs(spark, d), archive(spark, d))
+    FROM ({STORED_SQL}) WHERE event_id % 50 = 0 OR event_id % 40 = 0"""
+
+
+def updates(changes):
     return changes.updated["message"].select("id", "text", "sync_state", F.array_join(F.col("reactions.emoji"), "").alias("reactions"))
 
 
+@query("i_07_sync_updates", SYNC_SQL)
+def i_07(spark, d):
+    return updates(upkeep.sync(incoming(spark, d), specs(spark, d), archive(spark, d)))
+
+
+@query("i_07c_sync_by_ranges", SYNC_SQL)
+def i_07c(spark, d):
+    """The same, where only the ranges whose digests differ are looked at row by row."""
+    store, root = archive(spark, d), new_folder(spark, "ranges")
+    ranges.start(store["message"], root, {})
+    rows = ranges.difference(incoming(spark, d), ranges.read_mark(spark, root)).rows
+    return updates(upkeep.sync_rows(materialise(rows.drop(*ranges.EXTRA), "differing"), specs(spark, d), store))
+
+
 @query("i_07b_sync_report", f"""
     SELECT count_if(NOT (event_id % 10 < 8 AND chat_id % 13 <> 0)) AS new,
            count_if(event_id % 10 < 8 AND chat_id % 13 <> 0 AND event_id % 50 = 0) AS updated FROM ({CANONICAL_SQL})""")
