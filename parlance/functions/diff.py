@@ -116,7 +116,7 @@ def edit_diffs(pairs: DataFrame, old: str, new: str, name: str = "runs") -> Data
     """Add the runs between two text columns. The comparison costs far more than moving the texts, and input splits differ
     widely in that cost, so the pairs are spread evenly first: over tasks by the estimated size, or over all cores at least."""
     spark = pairs.sparkSession
-    size = int(pairs.select(old, new)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(pairs.select(old, new)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size // TASK_BYTES if size < UNKNOWN_SIZE else 0
     tasks = max(4 * spark.sparkContext.defaultParallelism, known)
     return pairs.repartition(tasks).withColumn(name, text_diff(old, new))
