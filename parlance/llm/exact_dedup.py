@@ -7,6 +7,8 @@ share a digest do the rows of that digest meet by their texts again.
 
 Null texts count as empty. A row repeated with id and text is a copy like any other: one row of the group is kept.
 Null ids come last. An empty table gives no rows.
+Texts of any length are compared whole. Other columns are not read, whatever their names; ``without_copies`` hands them on,
+but names that begin with ``_llm_`` are its own.
 """
 
 from __future__ import annotations

@@ -8,6 +8,8 @@ segment by segment, and the demand of all sources up to that time is its positio
 
 Null texts and texts without words have size 0 and take no words. A null source is a source of its own, after all others.
 Repeated rows are documents of their own. An empty table gives no rows.
+Copies due at one position have no set order among each other. Texts of any length are counted whole. ``training_order`` hands
+all columns on as they are, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,6 +15,8 @@ that occur more than once, and a block pair reports one link per pair of classes
 
 Texts below five words are one shingle; null and empty texts have none and form one class. Repeated rows belong to one
 class. An empty table gives no rows.
+Texts of any length are read whole. Other columns are not read, whatever their names; ``without_near_copies`` hands them on,
+but names that begin with ``_llm_`` are its own.
 """
 
 from __future__ import annotations

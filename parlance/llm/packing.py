@@ -6,6 +6,7 @@ length left; the combination is taken as often as the counts allow, so that the
 The pieces, numbered per length, then look up their places in the plan on the executors.
 
 Empty or null texts give one piece holding the end id. Repeated rows are packed each. An empty table gives no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ counts, of length one. The weights are fitted by follow-the-regularised-leader s
 
 Null and empty texts have no n-grams and get the score of the bias alone. Without labels of both classes every score is
 the share of label 1 seen, or one half. Repeated rows get equal scores; an empty table gives no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

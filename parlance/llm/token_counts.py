@@ -4,6 +4,7 @@ A section is a line with its line break; the rule for tokens that cross a border
 token's UTF-8 bytes takes it, among equals the first. Counts over the sections of a document thus add up to its tokens.
 
 Null and empty texts have one empty section and no tokens. Rows are handled one by one, so repeated rows repeat.
+An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

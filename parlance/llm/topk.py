@@ -10,6 +10,7 @@ without an id, take no part. Blocks with components beyond ``PLAIN`` are compare
 scores held within the range of a long. Only vectors of equal length are compared. Equal scores go by the smaller id. A
 repeated id is one query, by its smallest vector, and as many candidates as it has rows, though none for itself. An empty
 table, or one without partners, gives no rows.
+Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

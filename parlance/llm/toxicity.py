@@ -11,7 +11,8 @@ Training sees at most ``PER_CLASS`` labelled texts of each class. Labels belong
 over windows drawn at random, each round trains on the worst window of toxic texts and the worst windows of the others.
 
 Null and empty texts score 0. Without labels of both classes every score is 0. Repeated rows get equal scores; an empty
-table gives no rows.
+table gives no rows. Very long texts are read to their end, a run of windows at a time. Other columns of the documents are not
+read for a score, whatever their names; ``without_toxic`` hands all of them on as they are.
 """
 
 from __future__ import annotations
