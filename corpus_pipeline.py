@@ -2,6 +2,11 @@
 
 Toxic documents go, then exact copies, then near copies; what stays is mixed to the source weights, in training order and
 as often as the mix repeats it; last, it is packed into sequences.
+
+Null and empty texts count as empty: they score 0, are copies of each other, have size 0 in the mix and one piece when packed.
+Of repeated rows one stays. Texts of any length are handled whole. Columns beside those of documents are handed on up to the
+packing, but names that begin with ``_llm_`` are the stages' own. Empty documents give no rows. A copy is repeated as a document,
+so its pieces come once for each copy.
 """
 
 from __future__ import annotations
