@@ -88,6 +88,7 @@ def shared_file(spark):
         "media": spark.createDataFrame([(1, 10, "s.jpg", 7, "hs"), (2, 11, "only.jpg", 5, "ho"), (3, 20, "s.jpg", 7, "hs"), (4, 10, None, 0, None)],
                                        "id long, message_id long, src string, bytes long, content_hash string"),
         "source_ref": spark.createDataFrame([(10, "s", "1"), (20, "s", "2")], "message_id long, source string, external_id string"),
+        "attachment": spark.createDataFrame([(10, 0), (10, 1), (20, 0)], "message_id long, position int"),
         "chat_participant": spark.createDataFrame([(1, 1), (2, 1)], "chat_id long, person_id long"),
         "device": spark.createDataFrame([(5,), (6,)], "id long"),
     }
@@ -104,7 +105,7 @@ def test_purge_keeps_shared_files(spark, shared_file):
         "chats": 1, "messages": 2, "media_rows": 3, "files_deleted": 1, "files_kept_shared": 1, "bytes_freed": 5, "originals_deleted": 1}
     assert [r.src for r in first.files.collect()] == ["only.jpg"]
     assert {n: df.count() for n, df in first.archive.items()} == {
-        "chat": 1, "message": 1, "media": 1, "source_ref": 1, "chat_participant": 1, "device": 2}
+        "chat": 1, "message": 1, "media": 1, "source_ref": 1, "attachment": 1, "chat_participant": 1, "device": 2, "high_water": 2}
     second = upkeep.purge(first.archive, ids(spark, 2))
     both = upkeep.purge(shared_file, ids(spark, 1, 2))
     assert {r.src for r in both.files.collect()} == {r.src for p in (first, second) for r in p.files.collect()} == {"s.jpg", "only.jpg"}
@@ -113,7 +114,21 @@ def test_purge_keeps_shared_files(spark, shared_file):
 def test_purge_of_a_device(spark, shared_file):
     devices = spark.createDataFrame([(5,)], "device_id long")
     rest = upkeep.purge(shared_file, upkeep.device_chats(shared_file["chat"], devices), devices).archive
-    assert {n: df.count() for n, df in rest.items()} == {"chat": 0, "message": 0, "media": 0, "source_ref": 0, "chat_participant": 0, "device": 1}
+    assert {n: df.count() for n, df in rest.items()} == {
+        "chat": 0, "message": 0, "media": 0, "source_ref": 0, "attachment": 0, "chat_participant": 0, "device": 1, "high_water": 2}
+    assert {r["table_name"]: r["id"] for r in dicts(rest["high_water"])} == {"chat": 2, "message": 20}
+
+
+def test_replaced_chats_keep_no_attachments_and_no_ids(spark):
+    rows = canonical(spark, *[row(str(k), k, chat=str(k % 2), attachments=[FILE]) for k in range(6)])
+    chats, archive = specs(spark, "0", "1"), empty_archive(spark)
+    for turn in range(3):
+        archive = upkeep.replace_chats(archive, chats.select("slug"))
+        after = upkeep.apply_changes(archive, upkeep.import_new(rows, chats, archive))
+        archive = {n: spark.createDataFrame(df.collect(), df.schema) for n, df in after.items()}
+        assert [archive[n].count() for n in ("message", "attachment", "source_ref", "chat")] == [6, 6, 6, 2]
+        assert {r["id"] for r in dicts(archive["message"])} == set(range(6 * turn + 1, 6 * turn + 7))
+        assert {r["message_id"] for r in dicts(archive["attachment"])} == {r["id"] for r in dicts(archive["message"])}
 
 
 def test_media_completion(spark):
