@@ -2,20 +2,23 @@
 
 Base expressions find emails, addresses, cards and phones. Their finds are seeds: the words around them are lexical
 patterns, and every other token with a digit or an at sign is a candidate, and so is every longest run of number-like
-tokens with nothing but blanks between them that has no more digits than a card. In a context any word with a digit or an
-at sign is the same placeholder, and what lies before a text is a boundary mark. Spark scores the graph of patterns and
+tokens with nothing but blanks between them, with its parts that begin like a number (``parts_of``), as long as they have no
+more digits than a card. In a context any word with a digit or an at sign is the same placeholder, and what lies before a text
+is a boundary mark; a member of a list of identifiers also takes the two words before the list as its context. Spark scores the graph of patterns and
 instances in rounds: a pattern is as sure of a kind as its distinct instances are, an instance as sure as the patterns
 that name it together. Scores only grow, up to a bound; the rounds end when no score grew by more than ``TOLERANCE``.
 Candidates above ``SURE`` become spans of that kind, beside the base spans, which all stay; of nested ones the longest.
 
 A pattern counts once ``SUPPORT`` distinct instances have met in it, so that a passage copied into many documents says no
 more than once. Null texts count as empty and have no spans. Repeated rows are found apart; an empty table gives no rows.
+Texts of any length are searched whole. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,6 +36,7 @@ LEAST = 0.1
 # Kinds whose base forms may hold blanks.
 BLANKS = (2, 3)
 CARD_DIGITS = 19
+NAME = 200
 
 # Base expressions as the contract gives them; the domain part and the digit guard below keep their scans linear.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -130,6 +134,37 @@ def runs(text: str, words: list[tuple[int, int]], free: list[bool]) -> Iterator[
         k = max(k, first + 1)
 
 
+def parts_of(text: str, words: list[tuple[int, int]], begin: int, end: int, first: int, after: int) -> list[tuple[int, int, int, int]]:
+    """The parts of a run that may be identifiers, as the run itself is given: from one number start to before another.
+
+    A number starts with the run, or at a word with a plus, a bracket or a nought in front. A run of more digits than a card
+    has and without such starts is cut at every word. Parts have at most ``CARD_DIGITS`` digits, so they are few for each start.
+    """
+    inside = [k for k in range(first, after) if _DIGIT.search(text, *words[k])]
+    opens = [k for k in inside[1:] if text[words[k][0]] in "+(0"]
+    total = sum(c.isdigit() for c in text[begin:end])
+    if total > CARD_DIGITS and not opens:
+        opens = inside[1:]
+    if not opens:
+        return [(begin, end, first, after)]
+    cuts = [first, *opens, after]
+    out = []
+    for at, k in enumerate(cuts[:-1]):
+        for place in range(at + 1, len(cuts)):
+            last = inside[bisect_left(inside, cuts[place]) - 1]
+            a = begin if k == first else words[k][0]
+            b = end if last == inside[-1] else words[last][0] + len(text[slice(*words[last])].rstrip(_TRIM))
+            if sum(c.isdigit() for c in text[a:b]) > CARD_DIGITS:
+                break
+            out.append((a, b, k, last + 1))
+    return out
+
+
+def named(pattern: str) -> str:
+    """A pattern as a name of bounded length, different for different patterns."""
+    return pattern if len(pattern) <= NAME else pattern[:NAME // 2] + hashlib.md5(pattern.encode("utf-8", "surrogatepass")).hexdigest()
+
+
 def occurrences(text: str, spans: list[Span]) -> list[dict]:
     """Seeds and candidates with the patterns around them: the two words before, and the words on both sides."""
     if not _MARK.search(text):
@@ -155,9 +190,14 @@ def occurrences(text: str, spans: list[Span]) -> list[dict]:
             core = value.strip(_TRIM)
             if core and any(_fits(kind, core) for kind in range(len(KINDS))):
                 marked.append((a + left, a + left + len(core), None, k, k + 1))
-    for s, e, first, after in runs(text, words, free):
-        if sum(c.isdigit() for c in text[s:e]) <= CARD_DIGITS and any(_fits(kind, text[s:e]) for kind in BLANKS):
-            marked.append((s, e, None, first, after))
+    for run in runs(text, words, free):
+        for s, e, first, after in parts_of(text, words, *run):
+            if after > first + 1 and sum(c.isdigit() for c in text[s:e]) <= CARD_DIGITS and any(_fits(kind, text[s:e]) for kind in BLANKS):
+                marked.append((s, e, None, first, after))
+    # Where a list of identifiers, one right behind another, begins that ends before a word.
+    list_start: dict[int, int] = {}
+    for _, _, _, first, after in sorted(marked, key=lambda m: m[3:]):
+        list_start[after] = min(list_start.get(first, first), list_start.get(after, first))
 
     def around(k: int) -> str:
         if k < 0:
@@ -169,11 +209,15 @@ def occurrences(text: str, spans: list[Span]) -> list[dict]:
     for s, e, kind, first, after in marked:
         word = [around(first - 2), around(first - 1)]
         right = around(after) if after < len(words) else ""
+        patterns = [f"b {' '.join(word)}", f"a {word[-1]} _ {right}"]
+        if first in list_start:
+            head = list_start[first]
+            patterns.append(f"b {around(head - 2)} {around(head - 1)}")
         value = text[s:e]
         kinds = BLANKS if after > first + 1 else range(len(KINDS))
         fits = [kind] if kind is not None else [j for j in kinds if _fits(j, value)]
         out.append({"start": s, "end": e, "kind": kind, "value": value[:64] + hashlib.md5(value.encode("utf-8", "surrogatepass")).hexdigest(),
-                    "patterns": [f"b {' '.join(word)}"[:200], f"a {word[-1]} _ {right}"[:200]], "fits": fits})
+                    "patterns": list(map(named, patterns)), "fits": fits})
     return out
 
 

@@ -389,6 +389,37 @@ def test_candidates_with_blanks(spark):
     assert "18:30" not in spans[102][0] and "18:31" not in spans[102][0]
 
 
+def test_long_contexts_are_told_apart(spark):
+    long = "x" * 300
+    rows = [(k, f"{long}A +49 170 55512{k:02d}", "a") for k in range(20)] + [(100, f"{long}A 0170-5551234", "a"), (101, f"{long}B 0170-5551235", "a")]
+    spans = found_by_context(spark, rows)
+    assert spans[100] == ("phone:302:314", 1) and spans[101] == ("", 0)
+    assert pii.named(long + "A") != pii.named(long + "B") and len(pii.named(long * 9)) < 200 and pii.named("b us on") == "b us on"
+
+
+def test_numbers_in_a_row(spark):
+    rows = [(k, f"please ring us on +49 170 55512{k:02d} today or write", "a") for k in range(20)]
+    rows += [(100, "please ring us on 0170 555 1234 0171 555 9999 today", "a"), (101, "please ring us on 0170-5551234, 0171-5559999", "a")]
+    spans = found_by_context(spark, rows)
+    assert spans[100] == ("phone:18:31,phone:32:45", 2)
+    assert spans[101] == ("phone:18:30,phone:32:44", 2)
+
+
+def test_parts_of_runs_against_all_windows():
+    rng = random.Random(4)
+    for _ in range(200):
+        text = " ".join(rng.choice(["0170", "+49", "555", "1234", "(0171)", "12345678"]) for _ in range(rng.randrange(2, 9)))
+        words = [(m.start(), m.end()) for m in re.finditer("[^ ]+", text)]
+        run = (0, len(text), 0, len(words))
+        opens = [k for k in range(1, len(words)) if text[words[k][0]] in "+(0"]
+        if not opens and sum(c.isdigit() for c in text) > 19:
+            opens = list(range(1, len(words)))
+        cuts = [0, *opens, len(words)]
+        want = {(cuts[i], cuts[j]) for i in range(len(cuts)) for j in range(i + 1, len(cuts))
+                if opens == [] or sum(c.isdigit() for c in text[words[cuts[i]][0]:words[cuts[j] - 1][1]]) <= 19}
+        assert {(first, after) for _, _, first, after in pii.parts_of(text, words, *run)} == want, text
+
+
 def test_scores_reach_candidates_over_many_hops(spark):
     # Each instance of a link is named by the pattern before and seeds the next one.
     edges = [("p0", f"s{k}", 3, [3]) for k in range(40)]
